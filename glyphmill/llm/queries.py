@@ -1,0 +1,31 @@
+"""The registered query of each training-data operator, and SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import table
+from .exact_dedup import exact_dedup
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
+  FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, text_sha256
+FROM t
+"""
+
+
+def queries() -> dict:
+    return {"op6_exact_dedup": op6_exact_dedup}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op6_exact_dedup": OP6_SQL}
