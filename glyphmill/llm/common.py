@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def plain_text(text):
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch whose texts hold about ``most`` bytes; one longer text is a piece of its own."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         n = 0 if n != n else int(n)

@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_decode, bpe_digests, bpe_encode, read_ranks
+from .chat_format import digests, format_conversations
 from .common import table
 from .exact_dedup import exact_dedup
+from .sharding import place
+
+
+def tokenizer_file() -> tuple[str, str]:
+    """Path of the byte-level ranks and the pattern that goes with them."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer_file()
+    ranks = read_ranks(spark, path)
+    return bpe_digests(bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +39,52 @@ FROM t
 """
 
 
+#: Shards of the registered placement.
+SHARDS = [f"shard-{i:03d}" for i in range(192)]
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    own = spark.range(2).selectExpr(
+        "cast(-1 as bigint) conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"'{says}' text"
+    )
+    return digests(format_conversations(rows.unionByName(own)))
+
+
+OP9_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT *, regexp_matches(text, '\\(\[INST\]|\[/INST\]|<s>|</s>|\[ROLE:[0-9A-F]*\]|\[/ROLE\])')
+         OR regexp_matches(text, ' (\[/INST\]|</s>|\[/ROLE\])') AS conflict,
+         len(regexp_extract_all(text, '\[INST\]|\[/INST\]|<s>|</s>|\[ROLE:[0-9A-F]*\]|\[/ROLE\]')) AS controls,
+         CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + 2 * strlen(role) END AS marks
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(text) + marks + CASE WHEN conflict THEN controls ELSE 0 END)::BIGINT AS formatted_chars,
+       max(conflict::INT)::INT AS escape_level, true AS exact
+FROM turns GROUP BY conv_id
+"""
+
+
 def queries() -> dict:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op4_bpe": op4_bpe,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op8_sharding": op8_sharding,
+        "op9_chat_format": op9_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_chat_format": OP9_SQL}
