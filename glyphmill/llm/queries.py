@@ -8,6 +8,7 @@ from .bpe import bpe_decode, bpe_digests, bpe_encode, read_ranks
 from .chat_format import digests, format_conversations
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_html
 from .sharding import place
 
 
@@ -39,6 +40,10 @@ FROM t
 """
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
 #: Shards of the registered placement.
 SHARDS = [f"shard-{i:03d}" for i in range(192)]
 
@@ -81,6 +86,7 @@ def queries() -> dict:
     return {
         "op4_bpe": op4_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_html_extract": op7_html_extract,
         "op8_sharding": op8_sharding,
         "op9_chat_format": op9_chat_format,
     }
