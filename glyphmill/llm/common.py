@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -58,15 +59,20 @@ def plain_text(text):
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch whose texts hold about ``most`` bytes; one longer text is a piece of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose texts hold about ``most`` bytes, of at most ``rows`` rows; one longer
+    text is a piece of its own."""
     lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         n = 0 if n != n else int(n)
-        if i > start and held + n > most:
+        if i > start and (held + n > most or i - start >= rows):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")

@@ -7,11 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_decode, bpe_digests, bpe_encode, read_ranks
 from .chat_format import digests, format_conversations
 from .common import table
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .html_extract import extract_html
+from .language_id import identify, train
 from .sharding import place
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_file() -> tuple[str, str]:
     """Path of the byte-level ranks and the pattern that goes with them."""
     import public_tokenizers
@@ -84,6 +95,8 @@ FROM turns GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op2_language_id": op2_language_id,
+        "op3_decontaminate": op3_decontaminate,
         "op4_bpe": op4_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_html_extract": op7_html_extract,
