@@ -34,7 +34,7 @@ WINDOWS = (32, 80)
 #: Codewords for up to so many languages are exhaustive; beyond, the best of random codes.
 EXHAUSTIVE = 6
 #: Scores under this are ambiguous.
-AMBIGUOUS = 0.5
+AMBIGUOUS = 0.4
 UNKNOWN = "und"
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 

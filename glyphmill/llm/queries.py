@@ -11,9 +11,14 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .html_extract import extract_html
 from .language_id import identify, train
+from .secret_scan import scan_secrets
 from .sharding import place
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
@@ -95,6 +100,7 @@ FROM turns GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_language_id": op2_language_id,
         "op3_decontaminate": op3_decontaminate,
         "op4_bpe": op4_bpe,
