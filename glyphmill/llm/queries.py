@@ -11,6 +11,7 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .html_extract import extract_html
 from .language_id import identify, train
+from .pii import find_pii
 from .secret_scan import scan_secrets
 from .sharding import place
 
@@ -45,6 +46,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
@@ -104,6 +109,7 @@ def queries() -> dict:
         "op2_language_id": op2_language_id,
         "op3_decontaminate": op3_decontaminate,
         "op4_bpe": op4_bpe,
+        "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_html_extract": op7_html_extract,
         "op8_sharding": op8_sharding,
