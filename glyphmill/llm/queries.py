@@ -11,6 +11,7 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .html_extract import extract_html
 from .language_id import identify, train
+from .ngram_join import jaccard_components
 from .pii import find_pii
 from .secret_scan import scan_secrets
 from .sharding import place
@@ -103,6 +104,10 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -114,6 +119,7 @@ def queries() -> dict:
         "op7_html_extract": op7_html_extract,
         "op8_sharding": op8_sharding,
         "op9_chat_format": op9_chat_format,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
