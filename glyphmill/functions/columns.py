@@ -49,19 +49,27 @@ def partition_pattern(lower: bool, specials: tuple[str, ...]) -> str:
     return (f"(?:{sp})|" if sp else "") + f"{w}++(?:{i}++{w}++)*+|[{c['P']}]|[{c['K']}]|{rest}++"
 
 
-def running_starts(lengths: Column) -> Column:
-    """Sum of the lengths before each element. Sums run within blocks and over blocks, so the cost is
-    linear in the array but for a small factor."""
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _scan(xs: Column, start: Column) -> Column:
+    first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(xs, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
-    def scan(xs: Column, start: Column) -> Column:
-        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(xs, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
+def running_starts(lengths: Column) -> Column:
+    """Sum of the lengths before each element; lengths is a column or a lambda's variable. Sums run
+    within blocks and over blocks, so the cost is linear in the array but for a small factor."""
     n_blocks = F.ceil(F.size(lengths) / _BLOCK).cast("int")
     blocks = F.transform(F.sequence(F.lit(1), n_blocks), lambda b: F.slice(lengths, (b - 1) * _BLOCK + 1, F.lit(_BLOCK)))
-    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
-    several = F.flatten(F.zip_with(blocks, scan(sums, F.lit(0)), scan))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).when(F.size(lengths) <= _BLOCK, scan(lengths, F.lit(0))).otherwise(several)
+
+    def several(parts: Column) -> Column:
+        sums = F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
+        return F.flatten(F.zip_with(parts, _scan(sums, F.lit(0)), _scan))
+
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).when(F.size(lengths) <= _BLOCK, _scan(lengths, F.lit(0))).otherwise(let(blocks, several))
 
 
 def _tables(lower: bool) -> tuple[str, str, dict[str, str]]:
@@ -100,17 +108,23 @@ def basic_tokens(text: Column, lower: bool = True, specials: tuple[str, ...] = (
     c = classes(lower)
     runs = F.regexp_extract_all(text, F.lit(partition_pattern(lower, specials)), F.lit(0))
     size = F.octet_length if offset_unit == "byte" else F.length
-    starts = running_starts(F.transform(runs, lambda r: size(r)))
     word = rf"^[{c['W']}]"
-    special = F.array(*map(F.lit, specials)) if specials else F.array().cast("array<string>")
-    zipped = F.zip_with(runs, starts, lambda r, s: F.struct(s.alias("start"), (s + size(r)).alias("end"), r.alias("token")))
-    kept = F.filter(zipped, lambda x: ~x["token"].rlike(rf"^[{c['S']}{c['I']}]") | F.array_contains(special, x["token"]))
+    separator = rf"^[{c['S']}{c['I']}]"
+
+    def is_special(token: Column) -> Column:
+        return token.isin(*specials) if specials else F.lit(False)
+
+    def placed(rs: Column) -> Column:
+        starts = let(F.transform(rs, lambda r: size(r)), running_starts)
+        return F.zip_with(rs, starts, lambda r, s: F.struct(s.alias("start"), (s + size(r)).alias("end"), r.alias("token")))
+
+    kept = F.filter(let(runs, placed), lambda x: is_special(x["token"]) | ~x["token"].rlike(separator))
     return F.transform(
         kept,
         lambda x: F.struct(
             x["start"].alias("start"),
             x["end"].alias("end"),
-            F.when(F.array_contains(special, x["token"]), x["token"])
+            F.when(is_special(x["token"]), x["token"])
             .when(x["token"].rlike(word), fold(x["token"], lower))
             .otherwise(_folded_punct(x["token"]) if lower else x["token"])
             .alias("token"),
