@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,22 +12,34 @@ from . import unicode_tables as u
 
 _ASCII_PUNCT = r"!-/:-@\[-`{-~"
 _ASCII_IGNORED = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F"
+_PLAIN_PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Elements of a block of running_starts().
 _BLOCK = 256
 
 
+def _beyond_ascii(ranges) -> str:
+    """Non-ASCII ranges for a bracket, wide ones first and behind one test that fails for ASCII, so that
+    common characters are decided by a few comparisons."""
+    return rf"[\x{{80}}-\x{{10FFFF}}&&[{u.regex_ranges(sorted(ranges, key=lambda r: r[0] - r[1]))}]]"
+
+
+@cache
 def classes(lower: bool) -> dict[str, str]:
     """The insides of Java bracket expressions: K CJK, P punctuation, S space, I ignorable, W word."""
     c = u.non_ascii_classes()
-    folded = u.regex_ranges((k, k) for k in u.FOLDS_TO_PUNCTUATION) if lower else ""
-    punct, space, ignored, cjk = (u.regex_ranges(c[k]) for k in "PSIK")
+    folded = [(k, k) for k in u.FOLDS_TO_PUNCTUATION] if lower else []
+    taken = sorted([*c["K"], *c["P"], *c["S"], *c["I"], *folded])
+    gaps, at = [], 0x80
+    for first, last in taken:
+        if first > at:
+            gaps.append((at, first - 1))
+        at = max(at, last + 1)
     return {
-        "K": cjk,
-        "P": _ASCII_PUNCT + punct + folded,
-        "S": r" \t\n\r" + space,
-        "I": _ASCII_IGNORED + ignored,
-        # ASCII and the Latin blocks first: a match there ends the test
-        "W": rf"0-9A-Za-z\x{{C0}}-\x{{24F}}[\x{{80}}-\x{{10FFFF}}&&[^{cjk}{punct}{folded}{space}{ignored}]]",
+        "K": _beyond_ascii(c["K"]),
+        "P": _ASCII_PUNCT + _beyond_ascii([*c["P"], *folded]),
+        "S": r" \t\n\r" + _beyond_ascii(c["S"]),
+        "I": _ASCII_IGNORED + _beyond_ascii(c["I"]),
+        "W": r"0-9A-Za-z\x{C0}-\x{24F}" + _beyond_ascii(gaps),
     }
 
 
@@ -44,8 +57,9 @@ def partition_pattern(lower: bool, specials: tuple[str, ...]) -> str:
     (with ignorables inside), runs of separators. Repeats are possessive, so long runs need no stack."""
     c = classes(lower)
     sp = specials_pattern(specials)
-    hold = f"(?!{sp})" if sp else ""
-    w, i, rest = (f"(?:{hold}[{x}])" for x in (c["W"], c["I"], c["S"] + c["I"])) if hold else (f"[{x}]" for x in (c["W"], c["I"], c["S"] + c["I"]))
+    # only a special token that begins like a word or separator can begin inside one
+    inside = any(s[0] not in _PLAIN_PUNCT for s in specials)
+    w, i, rest = ((f"(?:(?!{sp})[{x}])" if inside else f"[{x}]") for x in (c["W"], c["I"], c["S"] + c["I"]))
     return (f"(?:{sp})|" if sp else "") + f"{w}++(?:{i}++{w}++)*+|[{c['P']}]|[{c['K']}]|{rest}++"
 
 
@@ -81,16 +95,21 @@ def _tables(lower: bool) -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), {a: b for a, b in table.items() if len(b) > 1}
 
 
-def fold(word: Column, lower: bool) -> Column:
+def has_wide_folds(text: Column) -> Column:
+    """Whether a text holds a character that folds to several."""
+    many = _tables(True)[2]
+    return text.rlike(f"[{u.regex_ranges((ord(c), ord(c)) for c in sorted(many))}\\x{{AC00}}-\\x{{D7A3}}]")
+
+
+def fold(word: Column, lower: bool, wide: bool = True) -> Column:
     """A word run as token text: ignorables removed and, in lower mode, each character lower-cased,
-    decomposed and stripped of nonspacing marks."""
+    decomposed and stripped of nonspacing marks. Without ``wide``, for texts that has_wide_folds() says
+    no of, a character is replaced at most."""
     source, target, many = _tables(lower)
-    rare = f"[{u.regex_ranges(u.non_ascii_classes()['I'])}]"
-    bare = F.regexp_replace(word, rare, "")
-    simple = F.translate(bare, source, target)
-    if not lower:
-        return F.when(word.rlike(r"^[0-9A-Za-z]*$"), word).otherwise(simple)
-    wide = f"[{u.regex_ranges((ord(c), ord(c)) for c in sorted(many))}\\x{{AC00}}-\\x{{D7A3}}]"
+    plain = word.rlike(r"^[0-9A-Za-z]*$")
+    bare = F.regexp_replace(word, f"[^{classes(lower)['W']}]", "")
+    if not (lower and wide):
+        return F.when(plain, F.lower(word) if lower else word).otherwise(F.translate(bare, source, target))
     pairs = F.create_map(*(F.lit(x) for pair in sorted(many.items()) for x in pair))
 
     def one(c: Column) -> Column:
@@ -99,8 +118,7 @@ def fold(word: Column, lower: bool) -> Column:
         jamo = F.concat(lead(0x1100, F.floor(k / 588)), lead(0x1161, F.floor(k % 588 / 28)), F.when(k % 28 > 0, lead(0x11A7, k % 28)).otherwise(F.lit("")))
         return F.when(c.rlike(r"[\x{AC00}-\x{D7A3}]"), jamo).otherwise(F.coalesce(F.element_at(pairs, c), F.translate(c, source, target)))
 
-    split = F.array_join(F.transform(F.split(bare, ""), one), "")
-    return F.when(word.rlike(r"^[0-9A-Za-z]*$"), F.lower(word)).when(word.rlike(wide), split).otherwise(simple)
+    return F.when(plain, F.lower(word)).otherwise(F.array_join(F.transform(F.split(bare, ""), one), ""))
 
 
 def basic_tokens(text: Column, lower: bool = True, specials: tuple[str, ...] = (), offset_unit: str = "codepoint") -> Column:
@@ -118,18 +136,22 @@ def basic_tokens(text: Column, lower: bool = True, specials: tuple[str, ...] = (
         starts = let(F.transform(rs, lambda r: size(r)), running_starts)
         return F.zip_with(rs, starts, lambda r, s: F.struct(s.alias("start"), (s + size(r)).alias("end"), r.alias("token")))
 
-    kept = F.filter(let(runs, placed), lambda x: is_special(x["token"]) | ~x["token"].rlike(separator))
-    return F.transform(
-        kept,
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            F.when(is_special(x["token"]), x["token"])
-            .when(x["token"].rlike(word), fold(x["token"], lower))
-            .otherwise(_folded_punct(x["token"]) if lower else x["token"])
-            .alias("token"),
-        ),
-    )
+    kept = F.filter(let(runs, placed), lambda x: x["token"].rlike("^[!-~]") | is_special(x["token"]) | ~x["token"].rlike(separator))
+
+    def told(wide: bool) -> Column:
+        return F.transform(
+            kept,
+            lambda x: F.struct(
+                x["start"].alias("start"),
+                x["end"].alias("end"),
+                F.when(is_special(x["token"]), x["token"])
+                .when(x["token"].rlike(word), fold(x["token"], lower, wide))
+                .otherwise(_folded_punct(x["token"]) if lower else x["token"])
+                .alias("token"),
+            ),
+        )
+
+    return F.when(has_wide_folds(text), told(True)).otherwise(told(False)) if lower else told(False)
 
 
 def _folded_punct(token: Column) -> Column:

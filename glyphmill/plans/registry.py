@@ -315,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "wordpiece_offsets": docs + ' SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, piece_idx) - 1)::INT AS i, piece, start::INT AS start, "end"::INT AS "end" FROM found',
         "unk_long_words": f"""SELECT k, 0 AS pos, (i - 1)::INT AS piece_idx, CASE WHEN strlen(text) > 100 OR NOT regexp_matches(text, '^(a+|é+)$') THEN '[UNK]' WHEN i = 1 THEN text[1] ELSE '##' || text[1] END AS piece
             FROM (SELECT k, text, unnest(range(1, CASE WHEN strlen(text) > 100 OR NOT regexp_matches(text, '^(a+|é+)$') THEN 2 ELSE length(text) + 1 END)) AS i FROM {edge})""",
-        "ids_roundtrip": bench + f", b AS (SELECT item_id, list_concat([cls], ids, [sep]) AS x FROM coded, own) SELECT item_id, {_JOIN.format('x')} AS ids, {_JOIN.format('list_transform(x, lambda i: (SELECT list(token ORDER BY id) FROM vocab)[i + 1])')} AS tokens FROM b",
+        "ids_roundtrip": bench + f", b AS (SELECT item_id, list_concat([cls], ids, [sep]) AS x FROM coded, own) SELECT item_id, {_JOIN.format('x')} AS ids, {_JOIN.format('list_transform(x, lambda i: l[i + 1])')} AS tokens FROM b, (SELECT list(token ORDER BY id) AS l FROM vocab)",
         "encode_fixed": docs + f" SELECT doc_id, {_JOIN.format(_filled(_cut(m), m))} AS input_ids FROM coded, own",
         "encode_with_ids": docs + f" SELECT doc_id, {_JOIN.format(_filled(_cut(m), m))} AS input_ids, {_JOIN.format(_filled('CAST([] AS INT[])', m))} AS token_type_ids, {_JOIN.format(mask)} AS attention_mask, {_JOIN.format(f'offsets[:{2 * (m - 2)}]')} AS offsets FROM coded, own",
         "encode_truncated": docs + f" SELECT doc_id, {_JOIN.format(_cut(16))} AS input_ids, {_JOIN.format('offsets[:28]')} AS offsets FROM coded, own",
