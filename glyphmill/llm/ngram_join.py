@@ -10,7 +10,8 @@ the elements before that bound plus one. What is built on this:
    other document has no partner and leaves. Documents that merely quote a passage leave here, however
    common the passage, and no pair is ever written.
 2. Equal sets become one class. Classes whose paths start alike under one of SEEDS orders are measured
-   against the smallest of them, which ties big families together with a link each.
+   against the one of them whose elements are the most common, mostly the text that the others vary;
+   this ties big families together with a link each.
 3. Links within a component change nothing. So step 1 repeats with elements that occur in two
    components; families leave as a whole, and what stays is little.
 4. What stays is joined in full: elements ordered by spread, then rarity; paths cut at the bound; for
@@ -114,7 +115,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= words:
-            out.append(np.unique(rolled[a : b - words + 1].view(np.int64)))
+            own = np.sort(rolled[a : b - words + 1].view(np.int64))
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
         elif b > a:
             short = np.array([b - a], dtype=np.uint64)
             for w in h[a:b]:
@@ -185,10 +187,12 @@ def _whole(words: int):
 
 
 def _spread_out(rows: DataFrame, group: str) -> DataFrame:
-    """Rows (doc_id, need, path, group) whose path has ``need`` elements that occur in two groups."""
-    each = rows.select("doc_id", "need", group, F.explode("path").alias("e"))
-    both = each.groupBy("e").agg(F.min(group).alias("_a"), F.max(group).alias("_b")).where("_a < _b").select("e")
-    return each.join(both, "e").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c"), F.max("need").alias("_need")).where("_c >= _need").select("doc_id")
+    """(doc_id, weight) of the rows (doc_id, need, path, group) whose path has ``need`` elements that
+    occur in two groups; weight is the mean logarithm of its elements' counts."""
+    each = rows.select("doc_id", "need", group, F.size("path").alias("_size"), F.explode("path").alias("e"))
+    both = each.groupBy("e").agg(F.min(group).alias("_a"), F.max(group).alias("_b"), F.count(F.lit(1)).alias("_df")).where("_a < _b").select("e", "_df")
+    found = each.join(both, "e").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c"), F.max("need").alias("_need"), (F.sum(F.log2("_df")) / F.max("_size")).alias("weight"))
+    return found.where("_c >= _need").select("doc_id", F.round("weight", 4).alias("weight"))
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,7 +208,9 @@ def _measured(percent: int):
             keep = []
             for i in range(batch.num_rows):
                 a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(a) + len(b) - len(np.union1d(a, b))
+                if len(a) < len(b):
+                    a, b = b, a
+                both = int((a[np.minimum(a.searchsorted(b), len(a) - 1)] == b).sum())
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -263,8 +269,9 @@ def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int =
             for j in node.ends:
                 other = docs[j]
                 if j != k and other[1] != comp:
-                    lo, hi = sorted((size, other[2]))
-                    if lo * 100 >= hi * percent:
+                    # the lengths that remain to this very pair
+                    need = -(-percent * (size + other[2]) // (100 + percent))
+                    if overlap + min(left - seen - 1, other[3] - len(other[4])) >= need and min(size, other[2]) >= need:
                         found.add((min(j, k), max(j, k)))
             for e, child in node.children.items():
                 at = place.get(e)
@@ -321,9 +328,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = members.where("doc_id = rep").select("doc_id", "n")
     reps, _ = written(sets.join(own, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]), "reps")
     node = reps.select("doc_id", "n", "path")
-    # families around their smallest member
-    keys = reps.select("doc_id", F.posexplode("least").alias("seed", "v"))
-    lead = keys.groupBy("seed", "v").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("seed", "v", "a")
+    # families around the member whose elements are the most common: the text that the others vary
+    keys = reps.join(alive, "doc_id").select("doc_id", "weight", F.posexplode("least").alias("seed", "v"))
+    first = F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))
+    lead = keys.groupBy("seed", "v").agg(first.alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("seed", "v", (-F.col("top.id")).alias("a"))
     stars = keys.join(lead, ["seed", "v"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links, _ = written(linked(stars, node, percent), "links")
     labels = components(links)
