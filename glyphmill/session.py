@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Arrow batches of texts: rows and bytes that a Python worker is handed at once, where the session does
+#: not say. Spark's own defaults let one batch of long texts take hundreds of megabytes on both sides.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
 
 
 def local_session(name: str = "glyphmill", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -26,7 +29,15 @@ def local_session(name: str = "glyphmill", cpus: int | str = "*", **conf: str) -
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give executors this package, once an application: Python workers import it by name."""
+    """Give executors this package, once an application: Python workers import it by name. Arrow batches
+    that have their default size are made small."""
+    for key, (usual, small) in ARROW_BATCH.items():
+        try:
+            now = spark.conf.get(key)
+        except Exception:  # a version of Spark without the setting
+            continue
+        if usual is None and int(str(now).rstrip("bB") or 0) > int(small) or now == usual:
+            spark.conf.set(key, small)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
