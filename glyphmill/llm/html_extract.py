@@ -186,16 +186,28 @@ LABELLED = (
     "<article><h1>+t</h1><p><a>+a</a></p><blockquote>+quoted</blockquote><div hidden>-not shown</div><nav><a>-page two</a></nav><p>+end</p></article>",
     "<p><a>-home</a> <a>all</a></p><h1>+a title with words</h1><p>+a long paragraph, of which there are two on this page, that says what there is to say in so many "
     "words</p><p>+the other paragraph, with which the page ends, as there is no footer that comes after it and nothing else either</p>",
+    "<article><p>+x</p></article>",
+    "<main><p>+a word</p></main>",
+    "<nav><a>-a</a></nav><article><p>+x</p></article><footer>-f</footer>",
+    "<div class=ad>-x</div><article><h1>+only a title</h1></article><aside>-y</aside>",
+    "<header>-x</header><article><p><a>+linked</a></p><p>+y</p></article>",
     "<section><p>-cheap things for you</p></section><article><p>+short</p></article><section><p>-cheap things for you and for all of your friends who like to buy them</p></section>",
 )
 
 
+#: Lengths at which the labelled pages with telling elements or names are read: there, a block's
+#: standing does not depend on its words.
+LENGTHS = (1, 4, 12)
+
+
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [], []
     for page in LABELLED:
-        for b in blocks_of(page):
-            rows.append(b.row)
-            labels.append(float(b.text[0] == "+"))
+        for n in LENGTHS if re.search(r"<article|<main|class=|id=", page) else (1,):
+            longer = re.sub(r">([+-])([^<]+)", lambda m, n=n: ">" + m[1] + " ".join([m[2]] * n), page)
+            for b in blocks_of(longer):
+                rows.append(b.row)
+                labels.append(float(b.text[0] == "+"))
     return np.array(rows), np.array(labels)
 
 

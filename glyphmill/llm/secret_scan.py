@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a character convolutional network over every candidate.
 
-Candidates are the runs of 16 or more characters of the alphabet that keys and tokens are written in.
+Candidates are the runs of 16 or more characters of the alphabet that keys and tokens are written in,
+eight of them different.
 The network reads a candidate with the text around it: one-hot characters, a convolution, the maximum
 over positions, a logistic output. It is trained on labelled findings that a seeded rule writes
 (keys of many shapes against words, names, paths, numbers and the like), its output is calibrated by
@@ -35,6 +36,8 @@ KINDS = ("assign", "access", "hex", "model")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: Different characters that a candidate has at least: a run of few of them carries no secret.
+DISTINCT = 8
 #: Words shortly before a candidate that put it in the group of told ones.
 TELLING = re.compile(r"(?:key|auth|bearer|credential|private|secret|token|pwd|pass|access|signature)\w*\W{0,4}$", re.I)
 #: Share of the labelled secrets that each group's threshold must find.
@@ -231,7 +234,7 @@ def scan(texts: list[str | None], net: Network) -> list[tuple[list, list]]:
         base = base_spans(text)
         found.append((base, []))
         for m in CANDIDATE.finditer(text):
-            if any(s < m.end() and m.start() < e for s, _, e in base):
+            if len(set(m[0])) < DISTINCT or any(s < m.end() and m.start() < e for s, _, e in base):
                 continue
             told = bool(TELLING.search(text[max(0, m.start() - 40) : m.start()]))
             for f in fields(text, m.start(), m.end()):
