@@ -43,12 +43,12 @@ SHOWN = 0.25
 #: Orders that step 2 tries.
 SEEDS = 4
 #: Paths of a block of a tree in step 4.
-BLOCK = 2048
+BLOCK = 1024
 #: Documents up to which a list of ids is broadcast instead of shuffled (8 MB).
 BROADCAST_IDS = 1_000_000
 
 _RADIX = 0x9E3779B97F4A7C15
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _POWERS: list[np.ndarray] = []
@@ -201,47 +201,49 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
-def _measured(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("px"), batch.column("py")
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
-                if len(a) < len(b):
-                    a, b = b, a
-                both = int((a[np.minimum(a.searchsorted(b), len(a) - 1)] == b).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity. Sizes are compared before sets move."""
     size_x, size_y = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("nx")), sets.select(F.col("doc_id").alias("b"), F.col("n").alias("ny"))
     fit = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
     near = pairs.join(size_x, "a").join(size_y, "b").where(fit).select("a", "b")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("path").alias("px")), sets.select(F.col("doc_id").alias("b"), F.col("path").alias("py"))
-    return near.join(y, "b").join(x, "a").select("a", "b", "px", "py").mapInArrow(_measured(percent), "a long, b long")
+    both = F.size(F.array_intersect("px", "py"))
+    measured = near.join(y, "b").join(x, "a").select("a", "b", both.alias("both"), (F.size("px") + F.size("py")).alias("all"))
+    return measured.where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b")
 
 
 class _Tree:
-    """A prefix tree of paths; each node knows its members' range of sizes and longest remainder."""
+    """A prefix tree of paths of sets of one size. A node knows the longest remainder below it, and the
+    component of its members where they have one in common. A child that holds one path only is that
+    path's position in docs; it becomes a node when a second path arrives."""
 
-    __slots__ = ("children", "ends", "low", "left")
+    __slots__ = ("children", "ends", "left", "comp")
 
-    def __init__(self):
-        self.children: dict[int, _Tree] = {}
+    def __init__(self, comp: int):
+        self.children: dict[int, _Tree | int] = {}
         self.ends: list[int] = []
-        self.low, self.left = 1 << 60, 0
+        self.left, self.comp = 0, comp
 
-    def add(self, path, doc: int, size: int, left: int) -> None:
+    def add(self, docs: list, k: int, depth: int = 0) -> None:
+        _, comp, _, left, path = docs[k]
         node = self
-        for i, e in enumerate([None, *path]):
-            node = node if e is None else node.children.setdefault(e, _Tree())
-            node.low, node.left = min(node.low, size), max(node.left, left - i)
-        node.ends.append(doc)
+        while True:
+            node.left = max(node.left, left - depth)
+            if node.comp != comp:
+                node.comp = None
+            if depth == len(path):
+                node.ends.append(k)
+                return
+            child = node.children.get(path[depth])
+            if child is None:
+                node.children[path[depth]] = k
+                return
+            depth += 1
+            if isinstance(child, int):
+                held, child = child, _Tree(docs[child][1])
+                child.add(docs, held, depth)
+                node.children[path[depth - 1]] = child
+            node = child
 
 
 def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int = PERCENT, blocks: tuple | None = None) -> set[tuple[int, int]]:
@@ -250,32 +252,44 @@ def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int =
 
     With blocks, (block of each document, i, j), only pairs between block i and block j.
     """
-    tree = _Tree()
-    block = blocks[0] if blocks else None
-    for k, (_, _, size, left, path) in enumerate(docs):
-        if not blocks or block[k] == blocks[1]:
-            tree.add(path, k, size, left)
+    trees: dict[int, _Tree] = {}
+    block, i, j = blocks or (None, 0, 0)
+    for k, (_, comp, size, _, _) in enumerate(docs):
+        if block is None or block[k] == i:
+            trees.setdefault(size, _Tree(comp)).add(docs, k)
     found = set()
     for k, (_, comp, size, left, path) in enumerate(docs):
-        if blocks and block[k] != blocks[2]:
+        if block is not None and block[k] != j:
             continue
-        place = {e: i for i, e in enumerate(path)}
-        stack = [(tree, 1, -1)]
-        while stack:
-            node, overlap, seen = stack.pop()
-            need = -(-percent * (size + max(node.low, least_overlap(size, percent))) // (100 + percent))
-            if overlap + min(left - seen - 1, node.left) < need:
+        place = {e: at for at, e in enumerate(path)}
+        for other_size, tree in trees.items():
+            need = -(-percent * (size + other_size) // (100 + percent))
+            # within a block the smaller set, of equal ones either, looks for the larger
+            if need > min(size, other_size) or (i == j and other_size < size):
                 continue
-            for j in node.ends:
-                other = docs[j]
-                if j != k and other[1] != comp:
-                    # the lengths that remain to this very pair
-                    need = -(-percent * (size + other[2]) // (100 + percent))
-                    if overlap + min(left - seen - 1, other[3] - len(other[4])) >= need and min(size, other[2]) >= need:
-                        found.add((min(j, k), max(j, k)))
-            for e, child in node.children.items():
-                at = place.get(e)
-                stack.append((child, overlap + (at is not None), seen if at is None else at))
+            stack = [(tree, 0, 1, -1)]
+            while stack:
+                node, depth, overlap, seen = stack.pop()
+                if isinstance(node, int):  # one path: its elements from depth on
+                    d = docs[node]
+                    if d[1] == comp or node == k:
+                        continue
+                    for e in d[4][depth:]:
+                        if (at := place.get(e)) is not None:
+                            overlap, seen = overlap + 1, at
+                    if overlap + min(left - seen - 1, d[3] - len(d[4])) >= need:
+                        found.add((min(node, k), max(node, k)))
+                    continue
+                rest = left - seen - 1
+                if node.comp == comp or overlap + min(rest, node.left) < need:
+                    continue
+                for other in node.ends:
+                    d = docs[other]
+                    if d[1] != comp and overlap + min(rest, d[3] - len(d[4])) >= need:
+                        found.add((min(other, k), max(other, k)))
+                for e, child in node.children.items():
+                    at = place.get(e)
+                    stack.append((child, depth + 1, overlap, seen) if at is None else (child, depth + 1, overlap + 1, at))
     return found
 
 
