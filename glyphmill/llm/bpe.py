@@ -32,7 +32,7 @@ CHUNK, OVERLAP = 32_768, 2_048
 #: Characters behind a boundary that the pattern may look at to set it; cut chunks trust none nearer their end.
 LOOKAHEAD = 16
 #: Cached pieces a Python worker keeps, and the longest of them.
-CACHE_PIECES, CACHE_CHARS = 200_000, 24
+CACHE_PIECES, CACHE_CHARS = 60_000, 24
 #: Bytes from which a piece is merged with a heap.
 LONG_PIECE = 96
 
@@ -48,14 +48,15 @@ def read_ranks(spark: SparkSession, path: str) -> list[tuple[bytes, int]]:
     return [(base64.b64decode(a), int(b)) for a, b in (x.split() for x in lines if x)]
 
 
-def _fast_merge(ranks: dict[bytes, int], pattern: str):
-    """The merge of one piece in native code where that library is installed, None elsewhere."""
+def _fast_merge(ranks: dict[bytes, int]):
+    """The merge of one piece in native code where that library is installed, None elsewhere. It is
+    given pieces only, so its own pattern, of which it keeps many copies, is the smallest there is."""
     try:
         import tiktoken
     except ImportError:
         return None
-    merge = getattr(getattr(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None), "encode_single_piece", None)
-    return merge
+    core = getattr(tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+    return getattr(core, "encode_single_piece", None)
 
 
 class Encoder:
@@ -64,9 +65,9 @@ class Encoder:
     def __init__(self, ranks: Iterable[tuple[bytes, int]], pattern: str):
         self.ranks = dict(ranks)
         self.pieces = regex.compile(pattern)
-        self.bytes_of = dict(map(reversed, self.ranks.items()))
+        self.bytes_of = {i: token for token, i in self.ranks.items()}
         self.cache: dict[str, list[int]] = {}
-        self.merge = _fast_merge(self.ranks, pattern) or self.merged
+        self.merge = None  # made when first needed, as decoding never is
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one piece: the adjacent pair of lowest rank, leftmost first, merges until none can."""
@@ -116,6 +117,8 @@ class Encoder:
         return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
     def piece_ids(self, piece: str) -> list[int]:
+        if self.merge is None:
+            self.merge = _fast_merge(self.ranks) or self.merged
         ids = self.merge(piece.encode())
         if len(piece) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_PIECES:
