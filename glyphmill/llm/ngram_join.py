@@ -252,20 +252,21 @@ def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int =
 
     With blocks, (block of each document, i, j), only pairs between block i and block j.
     """
-    trees: dict[int, _Tree] = {}
-    block, i, j = blocks or (None, 0, 0)
+    block, i, j = blocks or ([0] * len(docs), 0, 0)
+    sides: dict[int, dict[int, _Tree]] = {i: {}, j: {}}  # the trees of each block by size
     for k, (_, comp, size, _, _) in enumerate(docs):
-        if block is None or block[k] == i:
-            trees.setdefault(size, _Tree(comp)).add(docs, k)
+        if block[k] in sides:
+            sides[block[k]].setdefault(size, _Tree(comp)).add(docs, k)
     found = set()
     for k, (_, comp, size, left, path) in enumerate(docs):
-        if block is not None and block[k] != j:
+        if block[k] not in sides:
             continue
         place = {e: at for at, e in enumerate(path)}
-        for other_size, tree in trees.items():
+        for other_size, tree in sides[j if block[k] == i else i].items():
             need = -(-percent * (size + other_size) // (100 + percent))
-            # within a block the smaller set, of equal ones either, looks for the larger
-            if need > min(size, other_size) or (i == j and other_size < size):
+            # the smaller set looks for the larger, as the bounds below hold for no other; of equal
+            # ones either does, and of two blocks that of block j
+            if need > size or other_size < size or (other_size == size and block[k] != j):
                 continue
             stack = [(tree, 0, 1, -1)]
             while stack:

@@ -177,6 +177,32 @@ def test_tree_pairs_cover_all_links(rng):
                 assert (a, b) in found
 
 
+def test_tree_pairs_between_blocks(rng):
+    """Block against block, trees hold every pair that links, whichever of the two sets is larger."""
+    common = list(range(100, 188))
+    sets = [[*range(12), *common], [12, 13, *common]]
+    for own in range(20):
+        base = rng.sample(range(200, 260), 40)
+        sets += [sorted([*base[: 40 - cut], *range(1000 + 50 * own + 10 * cut, 1000 + 50 * own + 10 * cut + more)]) for cut, more in ((0, 0), (0, 5), (2, 3), (3, 0))]
+    need = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})}
+    for turn in (0, 1):
+        found = set()
+        for e in sorted({e for s in sets for e in s}):
+            docs, where = [], []
+            for k, s in enumerate(sets):
+                cut = s[: len(s) - ngram_join.least_overlap(len(s)) + 1]
+                if e in cut:
+                    at = cut.index(e)
+                    docs.append((k, k, len(s), len(s) - at - 1, cut[at + 1 :]))
+                    where.append(k)
+            block = [(k + turn) % 2 for k in where]
+            for i, j in ((0, 0), (0, 1), (1, 1)):
+                pairs = ngram_join.tree_pairs(docs, blocks=(block, i, j))
+                assert all({block[a], block[b]} == {i, j} for a, b in pairs)
+                found |= {(where[a], where[b]) for a, b in pairs}
+        assert (0, 1) in need <= found
+
+
 def test_components(spark, rng):
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, 500)]
     parent = {x: x for e in edges for x in e}
