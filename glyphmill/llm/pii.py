@@ -29,10 +29,14 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Runs of candidate tokens; longer ones are read in pieces of so many tokens.
-_RUN = r"(?<!\S)(?=\S*[0-9@])\S++(?:\x20(?=\S*[0-9@])\S++){0,31}+"
 #: Tokens of a candidate at most.
 MAX_TOKENS = 4
+#: Runs of candidate tokens; longer ones are read in pieces of so many tokens. The group has the tokens
+#: after a piece in which candidates that start in the piece may end.
+_NEXT = r"\x20(?=\S*[0-9@])\S++"
+_RUN = rf"(?<!\S)(?=\S*[0-9@])\S++(?:{_NEXT}){{0,31}}+(?=((?:{_NEXT}){{0,{MAX_TOKENS - 1}}}+))"
+#: Characters of a left word, its last ones.
+LEFT_CHARS = 40
 #: Rounds; Wilson bound a pattern, noisy-or an instance must reach; distinct instances behind a pattern.
 ROUNDS, PATTERN_LIMIT, INSTANCE_LIMIT, SUPPORT = 3, 0.9, 0.9, 8
 
@@ -111,12 +115,22 @@ def coarse_form(said: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(said, r"\p{L}+", "a"), "[0-9]+", "9")
 
 
+def _left(word: Column) -> Column:
+    """A left word as patterns have it: in its form where it is itself a candidate token."""
+    end = F.right(word, F.lit(LEFT_CHARS))
+    return F.lower(F.when(end.rlike("[0-9@]"), form(end)).otherwise(end))
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """(doc_id, tag, start, end, said, left, kind): kind is that of the base span with the same bounds,
     null for candidates that touch none."""
     t = F.col("text")
-    runs = rows.where(t.rlike("[0-9@]")).withColumn("run", F.explode(spans_of(t, _RUN, F.lit(True))))
-    tokens = F.split(F.col("run.said"), " ")
+    pieces = F.zip_with(
+        spans_of(t, _RUN, F.lit(True)), F.regexp_extract_all(t, F.lit(_RUN), F.lit(1)),
+        lambda x, after: F.struct(x["start"].alias("start"), x["said"].alias("said"), after.alias("after")),
+    )
+    runs = rows.where(t.rlike("[0-9@]")).withColumn("run", F.explode(pieces))
+    tokens = F.split(F.concat("run.said", "run.after"), " ")
     starts = F.aggregate(
         tokens,
         F.struct(F.col("run.start").alias("at"), F.array().cast("array<int>").alias("out")),
@@ -125,16 +139,16 @@ def candidates(rows: DataFrame) -> DataFrame:
     )
     n = F.size("tokens")
     several = runs.select(
-        "doc_id", "tag", "base", tokens.alias("tokens"), starts.alias("starts"),
-        F.regexp_extract(F.substring(t, F.greatest(F.lit(1), F.col("run.start") - 40), F.least(F.lit(41), F.col("run.start"))), r"(\S+)\s+$", 1).alias("before"),
+        "doc_id", "tag", "base", tokens.alias("tokens"), starts.alias("starts"), F.size(F.split("run.said", " ")).alias("own"),
+        F.regexp_extract(F.substring(t, F.greatest(F.lit(1), F.col("run.start") - LEFT_CHARS), F.least(F.lit(LEFT_CHARS + 1), F.col("run.start"))), r"(\S+)\s+$", 1).alias("before"),
     )
-    each = several.withColumn("i", F.explode(F.sequence(F.lit(1), n))).withColumn("m", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_TOKENS), n - F.col("i") + 1))))
+    each = several.withColumn("i", F.explode(F.sequence(F.lit(1), "own"))).withColumn("m", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_TOKENS), n - F.col("i") + 1))))
     whole = F.array_join(F.slice("tokens", F.col("i"), F.col("m")), " ")
     lead = F.length(F.regexp_extract("whole", r"^[\"'(\[<{]*", 0))
     said = F.regexp_replace(F.regexp_replace("whole", r"^[\"'(\[<{]+", ""), r"[\"'.,;:!?)\]>}]+$", "")
     cut = each.select(
         "doc_id", "tag", "base", whole.alias("whole"), F.element_at("starts", F.col("i")).alias("at"),
-        F.lower(F.when(F.col("i") > 1, form(F.element_at("tokens", F.greatest(F.lit(1), F.col("i") - 1)))).otherwise(F.col("before"))).alias("left"),
+        _left(F.when(F.col("i") > 1, F.element_at("tokens", F.greatest(F.lit(1), F.col("i") - 1))).otherwise(F.col("before"))).alias("left"),
     ).select("doc_id", "tag", "base", "left", (F.col("at") + lead).alias("start"), said.alias("said"))
     bounded = cut.where(F.length("said") > 0).withColumn("end", F.col("start") + F.length("said"))
     same = F.filter("base", lambda s: (s["start"] == F.col("start")) & (s["end"] == F.col("end")))

@@ -176,3 +176,18 @@ def test_pii(frame, rng):
     last = got[len(texts) - 1]
     assert seeds and last.n_card == 0 and last.n_added == 1 and "card:12:28" in last.spans.split(",")
     assert pii.find_pii(frame([])).count() == 0
+
+
+def test_pii_candidates_of_long_runs(frame):
+    """Every window of a run is a candidate once, wherever the run is cut into pieces."""
+    run = " ".join(f"{555 if i % 3 == 0 else 100 + i // 3 if i % 3 == 1 else 4000 + i // 3}" for i in range(150))
+    rows = pii.candidates(pii._with_base(frame([f"numbers {run} end", f"12\n{run}"]), "doc_id", "text")).where("doc_id = 0").collect()
+    tokens, at = run.split(" "), 8
+    want = {}
+    for i in range(150):
+        left = "numbers" if i == 0 else re.sub("[0-9]", "9", tokens[i - 1])
+        for m in range(1, min(4, 150 - i) + 1):
+            want[at, at + len(" ".join(tokens[i : i + m]))] = left
+        at += len(tokens[i]) + 1
+    got = {(r.start, r.end): r.left for r in rows}
+    assert want.items() <= got.items() and len(got) == len(rows)
