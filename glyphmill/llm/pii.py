@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and bootstrapped extraction of what they miss, in DataFrame
 expressions only.
 
-What the fixed patterns find are the seeds. Candidates are sequences of one to four neighbouring tokens
-that hold a digit or an at sign. A candidate instance has two lexical patterns: its form (digits as 9,
-runs of letters as a) and its left word with its coarse form. Patterns and instances make a graph, and
+What the fixed patterns find are the seeds. Candidates are sequences of neighbouring tokens that hold a
+digit or an at sign: of one to four tokens, or of more that have CHARS characters together. A candidate
+instance has lexical patterns: its form (digits as 9, runs of letters as a), its left word with its
+coarse form, and, where it reaches from a left word without digits to the end of its phrase, that word
+alone with each kind whose entities can have such characters. Patterns and instances make a graph, and
 a round scores it both ways: a pattern by the Wilson lower bound of the share of its distinct instances
 that are known as one kind, an instance by the noisy-or of its confident patterns. Instances over the
 limit are known in the next round. After the last round, known candidates that no fixed pattern has
@@ -29,17 +31,27 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Tokens of a candidate at most.
-MAX_TOKENS = 4
+#: A candidate has so many tokens at most, or more that have so many characters together at most: an
+#: account number has 34, a card or phone number fewer with its separators.
+MAX_TOKENS, CHARS = 4, 40
 #: Runs of candidate tokens; longer ones are read in pieces of so many tokens. The group has the tokens
 #: after a piece in which candidates that start in the piece may end.
 _NEXT = r"\x20(?=\S*[0-9@])\S++"
-_RUN = rf"(?<!\S)(?=\S*[0-9@])\S++(?:{_NEXT}){{0,31}}+(?=((?:{_NEXT}){{0,{MAX_TOKENS - 1}}}+))"
+_RUN = rf"(?<!\S)(?=\S*[0-9@])\S++(?:{_NEXT}){{0,31}}+(?=((?:{_NEXT}){{0,{CHARS - 1}}}+))"
+#: What entities of a kind are written in, whatever their layout: what they match, and their least and
+#: most digits. A left word alone vouches for nothing else.
+ENTITIES = (
+    (r"@", 0, None), (r"^\[?[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,}\]?$", 1, None),
+    (r"^[A-Z0-9](?:[\x20-]?[A-Z0-9])*$", 12, 34), (r"^[+(]?[0-9][\x20()./0-9-]*$", 7, 15),
+)
 #: Characters of a left word, its last ones.
 LEFT_CHARS = 40
 #: Rounds; Wilson bound a pattern, noisy-or an instance must reach; distinct instances behind a pattern.
 ROUNDS, PATTERN_LIMIT, INSTANCE_LIMIT, SUPPORT = 3, 0.9, 0.9, 8
 
+#: The end of a token that ends a phrase.
+_STOP = r"[.,;:!?][\"')\]}>]*$"
+
 _SPANS = "array<struct<start:int,end:int,said:string>>"
 
 
@@ -122,8 +134,9 @@ def _left(word: Column) -> Column:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, end, said, left, kind): kind is that of the base span with the same bounds,
-    null for candidates that touch none."""
+    """(doc_id, tag, start, end, said, left, phrase, kind): phrase tells candidates from a left word
+    without digits to the end of the run or the first token that ends in punctuation; kind is that of
+    the base span with the same bounds, null for candidates that touch none."""
     t = F.col("text")
     pieces = F.zip_with(
         spans_of(t, _RUN, F.lit(True)), F.regexp_extract_all(t, F.lit(_RUN), F.lit(1)),
@@ -142,14 +155,25 @@ def candidates(rows: DataFrame) -> DataFrame:
         "doc_id", "tag", "base", tokens.alias("tokens"), starts.alias("starts"), F.size(F.split("run.said", " ")).alias("own"),
         F.regexp_extract(F.substring(t, F.greatest(F.lit(1), F.col("run.start") - LEFT_CHARS), F.least(F.lit(LEFT_CHARS + 1), F.col("run.start"))), r"(\S+)\s+$", 1).alias("before"),
     )
-    each = several.withColumn("i", F.explode(F.sequence(F.lit(1), "own"))).withColumn("m", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_TOKENS), n - F.col("i") + 1))))
+    reach = F.aggregate(
+        F.slice("tokens", F.col("i"), CHARS),
+        F.struct(F.lit(0).alias("chars"), F.lit(0).alias("m"), F.lit(0).alias("phrase"), F.lit(0).alias("at")),
+        lambda acc, x: F.struct(
+            (acc["chars"] + F.length(x)).alias("chars"), (acc["m"] + (acc["chars"] + F.length(x) <= CHARS).cast("int")).alias("m"),
+            F.when((acc["phrase"] == 0) & x.rlike(_STOP), acc["at"] + 1).otherwise(acc["phrase"]).alias("phrase"), (acc["at"] + 1).alias("at"),
+        ),
+    )
+    firsts = several.withColumn("i", F.explode(F.sequence(F.lit(1), "own"))).withColumn("reach", reach)
+    phrase = F.when(F.col("reach.phrase") > 0, F.col("reach.phrase")).otherwise(n - F.col("i") + 1)
+    each = firsts.withColumn("phrase", phrase).withColumn("m", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.lit(MAX_TOKENS), n - F.col("i") + 1), "reach.m"))))
     whole = F.array_join(F.slice("tokens", F.col("i"), F.col("m")), " ")
     lead = F.length(F.regexp_extract("whole", r"^[\"'(\[<{]*", 0))
     said = F.regexp_replace(F.regexp_replace("whole", r"^[\"'(\[<{]+", ""), r"[\"'.,;:!?)\]>}]+$", "")
     cut = each.select(
         "doc_id", "tag", "base", whole.alias("whole"), F.element_at("starts", F.col("i")).alias("at"),
         _left(F.when(F.col("i") > 1, F.element_at("tokens", F.greatest(F.lit(1), F.col("i") - 1))).otherwise(F.col("before"))).alias("left"),
-    ).select("doc_id", "tag", "base", "left", (F.col("at") + lead).alias("start"), said.alias("said"))
+        (F.col("m") == F.col("phrase")).alias("phrase"),
+    ).select("doc_id", "tag", "base", "left", (F.col("phrase") & F.col("left").rlike(r"^\D*\p{L}\D*$")).alias("phrase"), (F.col("at") + lead).alias("start"), said.alias("said"))
     bounded = cut.where(F.length("said") > 0).withColumn("end", F.col("start") + F.length("said"))
     same = F.filter("base", lambda s: (s["start"] == F.col("start")) & (s["end"] == F.col("end")))
     touched = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
@@ -163,8 +187,12 @@ def _wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(said, kind, score) of the instances that confident patterns vouch for."""
+    said, digits = F.col("said"), F.length(_digits(F.col("said")))
+    fits = (said.rlike(p) & (digits >= least) & (digits <= most if most else F.lit(True)) for p, least, most in ENTITIES)
+    word = F.array(*(F.when(F.col("phrase") & fit, F.concat_ws(" ", F.lit("word"), F.lit(k), F.col("left"))) for k, fit in zip(KINDS, fits, strict=True)))
+    shape = F.array(F.concat(F.lit("form "), form("said")), F.concat_ws(" ", F.lit("left"), F.col("left"), coarse_form("said")))
     pairs = (
-        found.select("said", "kind", F.explode(F.array(F.concat(F.lit("form "), form("said")), F.concat_ws(" ", F.lit("left"), F.col("left"), coarse_form("said")))).alias("pattern"))
+        found.select("said", "kind", F.explode(F.concat(shape, F.array_compact(word))).alias("pattern"))
         .groupBy("pattern", "said")
         .agg(F.min("kind").alias("seed"))
     )

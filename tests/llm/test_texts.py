@@ -191,3 +191,22 @@ def test_pii_candidates_of_long_runs(frame):
         at += len(tokens[i]) + 1
     got = {(r.start, r.end): r.left for r in rows}
     assert want.items() <= got.items() and len(got) == len(rows)
+
+
+def test_pii_of_other_shapes(frame, rng):
+    """A left word vouches for shapes that no seed has, of any number of groups; not for what is no entity."""
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    texts = [f"call phone +{rng.randint(1, 9)}{digits(2)} {digits(7)} now" for _ in range(150)]
+    texts += [f"the address {rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.9 is" for _ in range(150)]
+    texts += [f"year {rng.randint(1000, 9999)} {digits(6)} is" for _ in range(150)]
+    odd = ["030 1234567", "06 12 34 56 78", "(555) 123-4567", "+33 6 12 34 56 78 90 12 34 56"]
+    n = len(texts)
+    texts += [f"my phone {x}, 2024 ok" for x in odd] + ["my address 2001:db8::1 here", "my phone 5 minutes", "in year 030 7654321 so"]
+    got = {r.doc_id: r for r in pii.find_pii(frame(texts)).collect()}
+    for i in range(3):
+        end = 9 + len(odd[i])
+        assert got[n + i].spans == f"phone:{9 + (odd[i][0] == '(')}:{end}" and got[n + i].n_added == 1, odd[i]
+    assert got[n + 4].spans == "ip:11:22" and got[n + 5].spans == got[n + 6].spans == ""
+    spaced = "+33 6 12 34 56 78"
+    found = pii.candidates(pii._with_base(frame([f"at {spaced} so", "iban DE89 3704 0044 0532 0130 00 so"]), "doc_id", "text")).collect()
+    assert [r.kind for r in found if r.said == spaced] == [3] and any(r.said == "DE89 3704 0044 0532 0130 00" and r.phrase for r in found)
