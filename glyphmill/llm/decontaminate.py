@@ -5,13 +5,16 @@ lower case and runs of white space aside. By the q-gram lemma such a place share
 m - q + 1 - e q of the item's q-grams, on diagonals (text position less item position) at most e apart.
 So: look up every q-gram of every document in the items' q-grams, count the hits of an item in
 overlapping bands of diagonals, each wide enough to hold any such drift, keep bands that reach the
-bound, and align the item with the band's stretch of text by a banded edit distance.
+bound, and align the item with the band's stretch of text by a banded edit distance. Items too short
+for an edit are looked up by hash at the starts of words, and leak where they stand as whole words.
 
 Items are read in blocks of bounded size, each broadcast; documents never move.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +30,12 @@ from .common import code_points, slices
 Q = 10
 #: Edits an item may differ by, as a share of its characters.
 EDITS = 0.08
-#: Items of fewer normalised characters are no evidence of a leak and are not searched.
-MIN_CHARS = 32
 #: Characters of items in a block; a block's index is broadcast and takes about 32 bytes a character.
 BLOCK_CHARS = 1_000_000
+#: Items in a block on average; twice as many would not fit the 15 bits of a key.
+BLOCK_ITEMS = 1 << 14
+#: Code points of scripts written without blanks, whose words end anywhere.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _R = 0x9E3779B97F4A7C15
 _R1, _R2, _R4 = (np.uint64(pow(_R, k, 1 << 64)) for k in (1, 2, 4))
 _BITS = 22
@@ -56,9 +61,24 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
     return h10 ^ (h10 >> np.uint64(29))
 
 
+@functools.cache
+def _in_words() -> np.ndarray:
+    """Of each code point whether it continues a word."""
+    table = np.fromiter((c.isalnum() or unicodedata.category(c)[0] == "M" for c in map(chr, range(0x110000))), dtype=bool, count=0x110000)
+    for a, b in _UNSPACED:
+        table[a : b + 1] = False
+    return table
+
+
+def _prefix_hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums that give the hash of any stretch, and the inverse powers that move it to the start."""
+    power, inverse = (np.concatenate((np.ones(1, np.uint64), np.full(len(points), r, dtype=np.uint64))).cumprod(dtype=np.uint64) for r in (np.uint64(_R), np.uint64(pow(_R, -1, 1 << 64))))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64))), inverse
+
+
 @dataclass(frozen=True)
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, and the items without edits by their text and by length."""
 
     item_ids: list
     items: list[str]
@@ -69,20 +89,29 @@ class Index:
     item: np.ndarray  # postings
     at: np.ndarray
     seen: np.ndarray  # bit table of the grams' leading bits
+    short: dict[str, list[int]]
+    short_hashes: dict[int, np.ndarray]
 
 
 def _leading(grams: np.ndarray) -> np.ndarray:
     return ((grams * _R1) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def build_index(rows: list[tuple[object, str | None]]) -> Index:
+def build_index(rows: list[tuple[object, str | None]], min_chars: int = 0) -> Index:
     ids, texts = [], []
     for item_id, text in rows:
-        if len(t := normalised(text)) >= MIN_CHARS:
+        if len(t := normalised(text)) >= max(min_chars, 1):
             ids.append(item_id), texts.append(t)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    edits = np.minimum((lengths * EDITS).astype(np.int64), (lengths - Q) // Q)
-    all_grams = [gram_hashes(code_points(t)) for t in texts]
+    edits = np.maximum(np.minimum((lengths * EDITS).astype(np.int64), (lengths - Q) // Q), 0)
+    all_grams = [gram_hashes(code_points(t if e else "")) for t, e in zip(texts, edits, strict=True)]
+    short: dict[str, list[int]] = {}
+    hashes: dict[int, list[int]] = {}
+    for k in np.flatnonzero(edits == 0).tolist():
+        short.setdefault(texts[k], []).append(k)
+    for t in short:
+        hashes.setdefault(len(t), []).append(int(_prefix_hashes(code_points(t))[0][-1]))
+    short_hashes = {n: np.unique(np.array(h, dtype=np.uint64)) for n, h in hashes.items()}
     flat = np.concatenate(all_grams) if texts else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(texts)), [len(g) for g in all_grams])
     at = np.concatenate([np.arange(len(g)) for g in all_grams]) if texts else np.zeros(0, np.int64)
@@ -90,7 +119,7 @@ def build_index(rows: list[tuple[object, str | None]]) -> Index:
     grams, first = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << _BITS, dtype=bool)
     seen[_leading(grams)] = True
-    return Index(ids, texts, edits, lengths - Q + 1 - edits * Q, grams, np.append(first, len(flat)), item[order], at[order], seen)
+    return Index(ids, texts, edits, lengths - Q + 1 - edits * Q, grams, np.append(first, len(flat)), item[order], at[order], seen, short, short_hashes)
 
 
 def banded_alignment(item: str, region: str, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -129,11 +158,39 @@ def banded_alignment(item: str, region: str, low: int, high: int, most: int) ->
 def leaks_in(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end) of the best match of each leaked item in each text; positions are
     characters of the normalised text."""
-    if not len(index.grams):
-        return []
     norm = [normalised(t) for t in texts]
     offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in norm])))
-    hashes = gram_hashes(code_points("\0".join(norm)))
+    points = code_points("\0".join(norm))
+    return sorted(_by_bands(norm, offset, points, index) + _by_words(norm, offset, points, index))
+
+
+def _by_words(norm: list[str], offset: np.ndarray, points: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """leaks_in() of the items without edits: the first place where they stand as whole words."""
+    if not index.short:
+        return []
+    inside = _in_words()[points]
+    edge = np.concatenate(([True], ~(inside[1:] & inside[:-1]), [True]))
+    edge = edge if len(points) else edge[:1]
+    total, inverse = _prefix_hashes(points)
+    starts = np.flatnonzero(edge)
+    first: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n, hashes in index.short_hashes.items():
+        at = starts[starts + n <= len(points)]
+        at = at[edge[at + n]]
+        own = (total[at + n] - total[at]) * inverse[at]
+        at = at[hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own]
+        for p, r in zip(at.tolist(), (np.searchsorted(offset, at, side="right") - 1).tolist(), strict=True):
+            begin = p - int(offset[r])
+            for i in index.short.get(norm[r][begin : begin + n], ()):
+                first.setdefault((r, i), (0, begin, begin + n))
+    return [(r, i, *v) for (r, i), v in first.items()]
+
+
+def _by_bands(norm: list[str], offset: np.ndarray, points: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """leaks_in() of the items that may have edits."""
+    if not len(index.grams):
+        return []
+    hashes = gram_hashes(points)
     where = np.flatnonzero(index.seen[_leading(hashes)])
     found = np.searchsorted(index.grams, hashes[where])
     real = index.grams[np.minimum(found, len(index.grams) - 1)] == hashes[where]
@@ -160,7 +217,7 @@ def leaks_in(texts: list[str | None], index: Index) -> list[tuple[int, int, int,
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for r, i, *match in out:
         best[r, i] = min(best.get((r, i), tuple(match)), tuple(match))
-    return [(r, i, *v) for (r, i), v in sorted(best.items())]
+    return [(r, i, *v) for (r, i), v in best.items()]
 
 
 def _verified(item: str, text: str, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
@@ -176,20 +233,22 @@ def _verified(item: str, text: str, low: int, high: int, edits: int) -> tuple[in
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of about BLOCK_CHARS characters, one at a time on the driver."""
+    """The items in blocks of about BLOCK_CHARS characters and BLOCK_ITEMS items at most, one at a time
+    on the driver."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(-(-chars // BLOCK_CHARS))
+    chars, rows = items.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+    n = int(max(-(-(chars or 0) // BLOCK_CHARS), -(-rows // BLOCK_ITEMS)))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
     for k in range(n):
         yield [(r["id"], r["text"]) for r in items.where(block == k).sort("id", "text").collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 0) -> DataFrame:
     """One row per document and item that leaks into it: doc_id, item_id, edits, similarity, start,
     end (characters of the lower-cased text with single blanks), of the item's best match there.
 
-    Null and empty texts leak nothing; items under MIN_CHARS characters are not searched; items that
+    Null and empty texts leak nothing. Items too short for an edit (under 20 characters) leak where they
+    stand unchanged as whole words; those under min_chars characters are not searched. Items that
     repeat are each reported, repeated documents too. Ties between matches go to the earlier. A
     null document or item id is reported as null. Empty tables give an empty result.
     """
@@ -198,7 +257,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = "doc_id long, item_id long, edits long, similarity double, start long, end long"
     result = None
     for block in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(build_index(block))
+        shared = spark.sparkContext.broadcast(build_index(block, min_chars))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -214,11 +273,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return result if result is not None else spark.createDataFrame([], schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the documents that any item leaks into, filtered in place."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 0) -> DataFrame:
+    """docs without the documents that any item of min_chars characters leaks into, filtered in place."""
     spark = ship(docs.sparkSession)
     for block in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(build_index(block))
+        shared = spark.sparkContext.broadcast(build_index(block, min_chars))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -97,6 +97,18 @@ def test_decontaminate_in_blocks(spark, frame, rng, monkeypatch):
     assert decontaminate.drop_leaks(frame([t for _, t in items] + ["a clean one"]), bench).count() == 1
 
 
+def test_decontaminate_short_items(spark, frame, rng):
+    """Items of any length are found; those too short for an edit as whole words."""
+    items = [(0, "Who wrote Pride and Prejudice?"), (1, "Who was first?"), (2, "cat"), (3, "首都是北京"), (4, "to be"), (5, "who was first?"), (6, " ")]
+    docs = ["q: who  wrote pride and prejudice? austen", "who wrote pride und prejudice?", "Who WAS\nfirst? me", "who was first", "concat cats", "a cat.", "中国的首都是北京吗", "into be", "to be", None, "x" * 50]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in decontaminate.find_leaks(frame(docs), bench).collect()}
+    edits = {k: v[0] for k, v in got.items()}
+    assert edits == {(0, 0): 0, (1, 0): 1, (2, 1): 0, (2, 5): 0, (5, 2): 0, (6, 3): 0, (8, 4): 0} and got[5, 2] == (0, 2, 5) and got[6, 3] == (0, 3, 8)
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(frame(docs), bench).collect()) == [3, 4, 7, 9, 10]
+    assert {r.item_id for r in decontaminate.find_leaks(frame(docs), bench, min_chars=14).collect()} == {0, 1, 5}
+
+
 # --------------------------------------------------------------------------------------------- join
 
 
