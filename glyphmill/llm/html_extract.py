@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,8 +23,12 @@ from ..session import ship
 from .common import slices
 from .tree import Node, grow, predict
 
-#: Elements whose text is never shown as text of the page.
-RAW = frozenset("script style title textarea noscript template svg iframe object select option button math canvas audio video".split())
+#: Elements that hold no markup and end at their next end tag only.
+RAW = frozenset("script style title textarea".split())
+#: Elements in the line whose text is furniture and no part of the text around them; of these, those
+#: that hold others of their kind.
+WIDGETS = frozenset("noscript template svg iframe object datalist select optgroup option button canvas audio video".split())
+_NESTING = frozenset("noscript template svg object".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -62,12 +67,14 @@ class Block:
     words: int
     linked: int
     flags: tuple[bool, ...]
+    widget: bool = False
     row: list[float] = field(default_factory=list)
 
 
 @dataclass
 class _Open:
-    """An open container and what holds inside it."""
+    """An open container or widget and what holds inside it. A widget holds back the state of the text
+    around it, and is loose where its end tag is missing: then it ends at the next block."""
 
     name: str
     article: bool = False
@@ -76,6 +83,8 @@ class _Open:
     bad: bool = False
     good: bool = False
     hidden: bool = False
+    held: tuple | None = None
+    loose: bool = False
 
 
 def _entered(name: str, attrs: str, outer: _Open) -> _Open:
@@ -86,7 +95,7 @@ def _entered(name: str, attrs: str, outer: _Open) -> _Open:
             bad |= bool(parts & BAD_NAMES)
             good |= bool(parts & GOOD_NAMES)
     return _Open(
-        name, outer.article or name in ARTICLE, outer.furniture or name in FURNITURE, outer.header or (name == "header" and not outer.article),
+        name, outer.article or name in ARTICLE, outer.furniture or name in FURNITURE or name in WIDGETS, outer.header or (name == "header" and not outer.article),
         outer.bad or (bad and name not in ("body", "html", "article", "main")), outer.good or good, outer.hidden or bool(_HIDDEN.search(attrs)),
     )
 
@@ -96,16 +105,17 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack = [_Open("")]
     text: list[str] = []
-    linked = links = 0
+    linked = links = inside = 0
     heading = False
     at, n = 0, len(page)
+    tags: dict[str, tuple[list[int], list[bool]]] = {}
 
     def flush() -> None:
         nonlocal text, linked
         whole = " ".join("".join(text).split())
         if whole:
             o = stack[-1]
-            found.append(Block(whole, whole.count(" ") + 1, linked, (o.article, o.furniture, o.header, o.bad, o.good, heading, o.hidden)))
+            found.append(Block(whole, whole.count(" ") + 1, linked, (o.article, o.furniture, o.header, o.bad, o.good, heading, o.hidden), inside > 0))
         text, linked = [], 0
 
     def said(part: str) -> None:
@@ -117,6 +127,25 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(part.split())
 
+    def leave() -> _Open:
+        """Ends the innermost element."""
+        nonlocal text, linked, links, heading, inside
+        flush()
+        o = stack.pop()
+        if o.held is not None:
+            inside -= 1
+            text, linked, links, heading = o.held
+        return o
+
+    def is_loose(name: str) -> bool:
+        """Whether the widget that has just begun has no end tag of its own."""
+        if name not in tags:
+            seen = [(m.start(), bool(m[1])) for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(page, at)]
+            tags[name] = [p for p, _ in seen], [end for _, end in seen]
+        starts, ends = tags[name]
+        k = bisect_left(starts, at)
+        return k == len(starts) or (not ends[-1] if name in _NESTING else not ends[k])
+
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -131,33 +160,52 @@ def blocks_of(page: str) -> list[Block]:
             if not m["attrs"].endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = close.end() if close else n
+        elif name in WIDGETS:
+            if m["end"]:
+                if any(o.name == name for o in stack):
+                    while leave().name != name:
+                        pass
+            elif not m["attrs"].endswith("/"):
+                if stack[-1].loose and (stack[-1].name == name or (name == "optgroup" and stack[-1].name == "option")):
+                    leave()
+                widget = _entered(name, m["attrs"], stack[-1])
+                widget.held, widget.loose = (text, linked, links, heading), is_loose(name)
+                stack.append(widget)
+                inside += 1
+                text, linked = [], 0
         elif name == "a":
             links = 0 if m["end"] else 1
         elif name == "br":
             text.append(" ")
         elif name in BLOCKS:
             flush()
-            heading = not m["end"] and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            while stack[-1].loose or (name in ARTICLE and not m["end"] and stack[-1].held is not None):
+                leave()
+                flush()
             if name in _CONTAINERS:
                 if not m["end"]:
                     if name not in _VOID:
                         stack.append(_entered(name, m["attrs"], stack[-1]))
                 elif any(o.name == name for o in stack):
-                    while stack.pop().name != name:
+                    while leave().name != name:
                         pass
+            heading = not m["end"] and name in ("h1", "h2", "h3", "h4", "h5", "h6")
             links = 0
+    while len(stack) > 1:
+        leave()
     flush()
     return _with_features(found)
 
 
 def _with_features(found: list[Block]) -> list[Block]:
     has = float(any(b.flags[0] for b in found))
-    size = [(float(b.words), min(1.0, b.linked / b.words)) for b in found]
-    edge = (0.0, 0.0)
-    for i, b in enumerate(found):
+    size = lambda b: (float(b.words), min(1.0, b.linked / b.words)) if b else (0.0, 0.0)
+    # the neighbours of a block are those in the text around, which widgets are no part of
+    shown, place = [None, *(b for b in found if not b.widget), None], 1
+    for b in found:
         article, furniture, header, bad, good, heading, hidden = map(float, b.flags)
-        before, after = size[i - 1] if i else edge, size[i + 1] if i + 1 < len(found) else edge
-        b.row = [*size[i], *before, *after, article, has, furniture, header, bad, good, heading, hidden]
+        b.row = [*size(b), *size(shown[place - 1]), *size(shown[place if b.widget else place + 1]), article, has, furniture, header, bad, good, heading, hidden]
+        place += not b.widget
     return found
 
 

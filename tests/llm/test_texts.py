@@ -130,6 +130,22 @@ def test_html(spark):
     assert np.mean([(html_extract.predict(model, r) >= 0.5) == v for r, v in zip(x, y, strict=True)]) > 0.95
 
 
+def test_html_widgets():
+    """Elements without an end tag end with what holds them or at the next block, and formulas are text."""
+    model = html_extract.train()
+    main = lambda page: html_extract.main_text(page, model)
+    article = "<article><h1>A title</h1><p>One <b>two</b>.</p></article>"
+    for opened in (
+        "<datalist><option value=a><option value=b></datalist>", "<datalist><option value=a><option value=b>", "<header><button>Menu</header>", "<button>Menu", "<select><option>a<option>b</select>",
+        "<select><option>a<option>b", "<svg><path d=x>", "<div><object data=x></div>", "<iframe src=x>", "<noscript><img src=x>", "<canvas>", "<video src=x>", "<audio>", "<template>", "<BUTTON>x",
+    ):
+        for page in (opened + article, opened + article + "<footer><button>Go</button><select><option>x</option></select></footer>", f"<body><div>{opened}</div>{article}</body>"):
+            assert main(page) == "A title\nOne two.", page
+    assert main("<article><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "As x=1 holds."
+    assert main("<article><p>One <button>Go</button>two <svg><title>t</title><text>no</text></svg>three.<p>Four<select><option>a<option>b</select>.</article>") == "One two three.\nFour."
+    assert [(b.text, b.flags[1]) for b in html_extract.blocks_of("<p>a <object><p>fallback</p></object>b</p><video>none</video>")] == [("fallback", True), ("a b", False), ("none", True)]
+
+
 # ---------------------------------------------------------------------------------------------- PII
 
 _PII = [
