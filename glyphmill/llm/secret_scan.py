@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a character convolutional network over every candidate.
 
 Candidates are the runs of 16 or more characters of the alphabet that keys and tokens are written in,
-eight of them different.
+but for filler of one to three different characters, which counts as not found in the calibration too.
 The network reads a candidate with the text around it: one-hot characters, a convolution, the maximum
 over positions, a logistic output. It is trained on labelled findings that a seeded rule writes
 (keys of many shapes against words, names, paths, numbers and the like), its output is calibrated by
@@ -36,8 +36,8 @@ KINDS = ("assign", "access", "hex", "model")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-#: Different characters that a candidate has at least: a run of few of them carries no secret.
-DISTINCT = 8
+#: Different characters that filler has at most: lines, dots, padding.
+FILLER = 3
 #: Words shortly before a candidate that put it in the group of told ones.
 TELLING = re.compile(r"(?:key|auth|bearer|credential|private|secret|token|pwd|pass|access|signature)\w*\W{0,4}$", re.I)
 #: Share of the labelled secrets that each group's threshold must find.
@@ -51,6 +51,10 @@ _CHANNELS = 26 + 3 + len(_SYMBOLS) + 1  # letters, upper, digit, inside, symbols
 WIDTH, FILTERS = 4, 16
 
 
+def is_filler(run: str) -> bool:
+    return len(set(run)) <= FILLER
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the fixed patterns find."""
     found = []
@@ -186,6 +190,7 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, epochs: int =
     y = np.array([f[3] for f in findings], dtype=np.float32)
     told = np.array([bool(TELLING.search(t[max(0, a - 40) : a])) for t, a, _, _ in findings])
     part = np.arange(len(y)) // 2 % 4
+    read = np.array([not is_filler(t[a:b]) for t, a, b, _ in findings])
     own, held = np.flatnonzero(part < 3), np.flatnonzero(part == 3)
     w = {
         "f": (rng.normal(size=(WIDTH * _CHANNELS, FILTERS)) * 0.15).astype(np.float32), "o": np.zeros(FILTERS, np.float32),
@@ -213,12 +218,13 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, epochs: int =
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 w[k] = w[k] - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     net = Network(w["f"], w["o"], w["v"], float(w["b"][0]))
-    m, a, c = net.margin(x[held]), 1.0, 0.0
+    judged = held[read[held]]
+    m, a, c = net.margin(x[judged]), 1.0, 0.0
     for _ in range(400):  # Platt scaling
-        g = 1 / (1 + np.exp(-np.clip(a * m + c, -40, 40))) - y[held]
+        g = 1 / (1 + np.exp(-np.clip(a * m + c, -40, 40))) - y[judged]
         a, c = a - 0.02 * float((g * m).mean()), c - 0.1 * float(g.mean())
     net = Network(net.filters, net.offset, net.out, net.bias, a, c)
-    score = net.score(x[held])
+    score = np.where(read[held], net.score(x[held]), 0)
     limits = []
     for group in (False, True):
         hits = np.sort(score[(told[held] == group) & (y[held] > 0)])
@@ -234,7 +240,7 @@ def scan(texts: list[str | None], net: Network) -> list[tuple[list, list]]:
         base = base_spans(text)
         found.append((base, []))
         for m in CANDIDATE.finditer(text):
-            if len(set(m[0])) < DISTINCT or any(s < m.end() and m.start() < e for s, _, e in base):
+            if is_filler(m[0]) or any(s < m.end() and m.start() < e for s, _, e in base):
                 continue
             told = bool(TELLING.search(text[max(0, m.start() - 40) : m.start()]))
             for f in fields(text, m.start(), m.end()):

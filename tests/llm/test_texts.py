@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import struct
 
@@ -57,6 +58,17 @@ def test_secret_network_on_other_findings(network):
     assert hit[label].mean() > 0.9 and hit[~label].mean() < 0.02
 
 
+def test_secrets_of_few_characters(network):
+    """The network judges keys of few different characters as it does others; only filler is left out."""
+    rng = random.Random(4)
+    keys = [k for k in ("".join(rng.choice("0123456789abcdef") for _ in range(16)) for _ in range(20_000)) if len(set(k)) < 8][:150]
+    texts = [f"auth: {k} and more" for k in keys]
+    found = np.array([more == [(6, 3, 22)] for _, more in secret_scan.scan(texts, network)])
+    judged = network.score(secret_scan.one_hot([secret_scan.fields(t, 6, 22)[0] for t in texts])) >= network.thresholds[1]
+    assert len(keys) == 150 and found.tolist() == judged.tolist() and found.mean() > 0.3
+    assert secret_scan.scan(["auth: " + "ab-" * 8, "auth: " + "x" * 40], network) == [([], []), ([], [])]
+
+
 # ----------------------------------------------------------------------------------------- language
 
 
