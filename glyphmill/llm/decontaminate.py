@@ -82,6 +82,7 @@ class Index:
 
     item_ids: list
     items: list[str]
+    times: list[int]
     edits: np.ndarray
     need: np.ndarray
     grams: np.ndarray  # sorted, distinct
@@ -97,11 +98,11 @@ def _leading(grams: np.ndarray) -> np.ndarray:
     return ((grams * _R1) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def build_index(rows: list[tuple[object, str | None]], min_chars: int = 0) -> Index:
-    ids, texts = [], []
-    for item_id, text in rows:
+def build_index(rows: list[tuple[object, str | None, int]], min_chars: int = 0) -> Index:
+    ids, texts, times = [], [], []
+    for item_id, text, n in rows:
         if len(t := normalised(text)) >= max(min_chars, 1):
-            ids.append(item_id), texts.append(t)
+            ids.append(item_id), texts.append(t), times.append(n)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     edits = np.maximum(np.minimum((lengths * EDITS).astype(np.int64), (lengths - Q) // Q), 0)
     all_grams = [gram_hashes(code_points(t if e else "")) for t, e in zip(texts, edits, strict=True)]
@@ -119,7 +120,7 @@ def build_index(rows: list[tuple[object, str | None]], min_chars: int = 0) -> In
     grams, first = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << _BITS, dtype=bool)
     seen[_leading(grams)] = True
-    return Index(ids, texts, edits, lengths - Q + 1 - edits * Q, grams, np.append(first, len(flat)), item[order], at[order], seen, short, short_hashes)
+    return Index(ids, texts, times, edits, lengths - Q + 1 - edits * Q, grams, np.append(first, len(flat)), item[order], at[order], seen, short, short_hashes)
 
 
 def banded_alignment(item: str, region: str, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -232,15 +233,15 @@ def _verified(item: str, text: str, low: int, high: int, edits: int) -> tuple[in
     return found and (found[0], start + found[1], start + found[2])
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of about BLOCK_CHARS characters and BLOCK_ITEMS items at most, one at a time
-    on the driver."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None, int]]]:
+    """The distinct items (id, text, rows that have it) in blocks of about BLOCK_CHARS characters and
+    BLOCK_ITEMS items at most, one at a time on the driver."""
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).groupBy("id", "text").agg(F.count(F.lit(1)).alias("times"))
     chars, rows = items.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
     n = int(max(-(-(chars or 0) // BLOCK_CHARS), -(-rows // BLOCK_ITEMS)))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
     for k in range(n):
-        yield [(r["id"], r["text"]) for r in items.where(block == k).sort("id", "text").collect()]
+        yield [(r["id"], r["text"], r["times"]) for r in items.where(block == k).sort("id", "text").collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 0) -> DataFrame:
@@ -255,8 +256,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, edits long, similarity double, start long, end long"
+    columns = ["doc_id", "item_id", "edits", "similarity", "start", "end"]
     result = None
-    for block in blocks(benchmark, item_col, item_text):
+    for block in filter(None, blocks(benchmark, item_col, item_text)):
         shared = spark.sparkContext.broadcast(build_index(block, min_chars))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -264,11 +266,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             for batch in batches:
                 for part in slices(batch, "text", 1_000_000, _ROWS):
                     ids = part.column("doc_id").to_pylist()
-                    out = [(ids[r], index.item_ids[i], e, 1 - e / len(index.items[i]), a, b) for r, i, e, a, b in leaks_in(part.column("text").to_pylist(), index)]
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "edits", "similarity", "start", "end"])
-
-        one = rows.mapInArrow(run, schema)
+                    out = [(ids[r], index.item_ids[i], e, 1 - e / len(index.items[i]), a, b, index.times[i]) for r, i, e, a, b in leaks_in(part.column("text").to_pylist(), index)]
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], [*columns, "times"])
+
+        one = rows.mapInArrow(run, schema + ", times long")
+        if max(x[2] for x in block) > 1:  # rows of an item that repeats
+            one = one.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+        one = one.select(columns)
         result = one if result is None else result.unionByName(one)
     return result if result is not None else spark.createDataFrame([], schema)
 

@@ -109,6 +109,18 @@ def test_decontaminate_short_items(spark, frame, rng):
     assert {r.item_id for r in decontaminate.find_leaks(frame(docs), bench, min_chars=14).collect()} == {0, 1, 5}
 
 
+def test_decontaminate_repeated_items(spark, frame, rng, monkeypatch):
+    """A row that the benchmark repeats is indexed once and reported as often."""
+    text, other = words(rng, 12), words(rng, 12)
+    bench = spark.createDataFrame([(1, text)] * 40 + [(2, text), (None, other), (None, other), (3, "cat"), (3, "cat")], "item_id long, text string")
+    assert sorted(len(b) for b in decontaminate.blocks(bench, "item_id", "text")) == [4]
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame([text, other, "a cat", "none"]), bench).collect())
+    assert got == {(0, 1): 40, (0, 2): 1, (1, None): 2, (2, 3): 2}
+    assert [r.doc_id for r in decontaminate.drop_leaks(frame([text, other, "a cat", "none"]), bench).collect()] == [3]
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    assert sum(len(b) for b in decontaminate.blocks(bench, "item_id", "text")) == 4 and len(list(decontaminate.blocks(bench, "item_id", "text"))) == 2
+
+
 # --------------------------------------------------------------------------------------------- join
 
 
