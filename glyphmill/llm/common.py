@@ -54,9 +54,14 @@ def discard(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def named(column: str):
+    """A column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def plain_text(text):
     """A text column in which null counts as empty."""
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.coalesce(named(text) if isinstance(text, str) else text, F.lit(""))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,16 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into text blocks at block-level tags; nothing of the tree is kept beyond what a block
-carries: its words, the share of them in links, the same of its neighbours, and whether an enclosing
-element is an article, page furniture, or named like one of the two. A decision tree, grown on the
-small labelled table below, says which blocks are the article.
+carries: its words, the share of them in links, the same of two neighbours on each side, whether it is
+a heading, a paragraph or in the same element as they are, and whether an enclosing element is an article, page furniture or hidden, or
+named like furniture. A decision tree, grown on a small labelled table that a seeded rule writes, says
+which blocks are the article.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -17,10 +19,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
-from .common import slices
+from .common import named, slices
 from .tree import Node, grow, predict
 
 #: Elements that hold no markup and end at their next end tag only.
@@ -37,14 +39,13 @@ BLOCKS = frozenset(
 #: Elements that are page furniture whatever they are called, and elements that hold the article.
 FURNITURE = frozenset("nav aside footer form menu dialog".split())
 ARTICLE = frozenset(["article", "main"])
-#: Parts of class names, ids and roles that name furniture, and parts that name the article.
+#: Names of furniture and of reader comments: a class, an id or a role counts where it is one of these or
+#: where its first or last part is. They are two features among the others, no verdict.
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail related recommended share sharing social comment comments commentlist "
-    "disqus reply replies respond discussion footer foot header masthead newsletter subscribe subscription signup popup modal overlay login search "
-    "toolbar widget pagination pager skip copyright legal disclaimer contentinfo complementary dialog form".split()
+    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar related recommended share sharing footer masthead newsletter subscribe signup popup modal overlay login widget pagination pager contentinfo".split()
 )
-GOOD_NAMES = frozenset("article post entry content story main body text".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = BLOCKS - frozenset("p li dd dt td th tr thead tbody tfoot h1 h2 h3 h4 h5 h6 hr head html caption legend summary pre".split())
 _TAG = re.compile(
@@ -56,8 +57,9 @@ _HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 FEATURES = (
-    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "in_article", "page_has_article", "in_furniture", "in_header", "bad_name", "good_name", "heading", "hidden",
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "words_2_before", "link_density_2_before",
+    "words_2_after", "link_density_2_after", "standing", "in_furniture", "in_header", "bad_name", "comment_name",
+    "heading", "paragraph", "after_heading", "hidden", "like_before", "like_after",
 )
 
 
@@ -68,6 +70,7 @@ class Block:
     linked: int
     flags: tuple[bool, ...]
     widget: bool = False
+    element: str = ""
     row: list[float] = field(default_factory=list)
 
 
@@ -78,25 +81,32 @@ class _Open:
 
     name: str
     article: bool = False
+    main: bool = False
     furniture: bool = False
     header: bool = False
     bad: bool = False
-    good: bool = False
+    comment: bool = False
     hidden: bool = False
     held: tuple | None = None
     loose: bool = False
 
 
+def _names(attrs: str) -> set[str]:
+    """The classes, ids and roles of a tag, each whole and by its first and last part, in lower case."""
+    found = set()
+    for m in _NAMES.finditer(attrs):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = _PARTS.findall(name)
+            found |= {x.lower() for x in (name, *parts[:1], *parts[-1:])}
+    return found
+
+
 def _entered(name: str, attrs: str, outer: _Open) -> _Open:
-    bad = good = False
-    if "=" in attrs:
-        for m in _NAMES.finditer(attrs):
-            parts = {p.lower() for p in _PARTS.findall(m[2] or m[3] or m[4] or "")}
-            bad |= bool(parts & BAD_NAMES)
-            good |= bool(parts & GOOD_NAMES)
+    called = _names(attrs) if "=" in attrs and name not in ("body", "html", "article", "main") else set()
+    article = outer.article or name == "article"
     return _Open(
-        name, outer.article or name in ARTICLE, outer.furniture or name in FURNITURE or name in WIDGETS, outer.header or (name == "header" and not outer.article),
-        outer.bad or (bad and name not in ("body", "html", "article", "main")), outer.good or good, outer.hidden or bool(_HIDDEN.search(attrs)),
+        name, article, outer.main or name == "main", outer.furniture or name in FURNITURE or name in WIDGETS, outer.header or (name == "header" and not outer.article),
+        outer.bad or bool(called & BAD_NAMES), outer.comment or bool(called & COMMENT_NAMES), outer.hidden or bool(_HIDDEN.search(attrs)),
     )
 
 
@@ -106,16 +116,18 @@ def blocks_of(page: str) -> list[Block]:
     stack = [_Open("")]
     text: list[str] = []
     linked = links = inside = 0
-    heading = False
+    heading = seen = False
+    element = ""
     at, n = 0, len(page)
     tags: dict[str, tuple[list[int], list[bool]]] = {}
 
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text, linked, seen
         whole = " ".join("".join(text).split())
         if whole:
             o = stack[-1]
-            found.append(Block(whole, whole.count(" ") + 1, linked, (o.article, o.furniture, o.header, o.bad, o.good, heading, o.hidden), inside > 0))
+            found.append(Block(whole, whole.count(" ") + 1, linked, (o.article, o.main, o.furniture, o.header, o.bad, o.comment, heading, element == "p", seen, o.hidden), inside > 0, element))
+            seen |= heading and not (o.furniture or o.header)
         text, linked = [], 0
 
     def said(part: str) -> None:
@@ -129,12 +141,12 @@ def blocks_of(page: str) -> list[Block]:
 
     def leave() -> _Open:
         """Ends the innermost element."""
-        nonlocal text, linked, links, heading, inside
+        nonlocal text, linked, links, heading, element, inside
         flush()
         o = stack.pop()
         if o.held is not None:
             inside -= 1
-            text, linked, links, heading = o.held
+            text, linked, links, heading, element = o.held
         return o
 
     def is_loose(name: str) -> bool:
@@ -169,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[-1].loose and (stack[-1].name == name or (name == "optgroup" and stack[-1].name == "option")):
                     leave()
                 widget = _entered(name, m["attrs"], stack[-1])
-                widget.held, widget.loose = (text, linked, links, heading), is_loose(name)
+                widget.held, widget.loose = (text, linked, links, heading, element), is_loose(name)
                 stack.append(widget)
                 inside += 1
                 text, linked = [], 0
@@ -190,6 +202,7 @@ def blocks_of(page: str) -> list[Block]:
                     while leave().name != name:
                         pass
             heading = not m["end"] and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            element = "" if m["end"] else name
             links = 0
     while len(stack) > 1:
         leave()
@@ -198,69 +211,106 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _with_features(found: list[Block]) -> list[Block]:
-    has = float(any(b.flags[0] for b in found))
+    # where the page has an article element (main, where it has none): 1 inside, -1 outside
+    telling = next((k for k in (0, 1) if any(b.flags[k] for b in found)), None)
     size = lambda b: (float(b.words), min(1.0, b.linked / b.words)) if b else (0.0, 0.0)
     # the neighbours of a block are those in the text around, which widgets are no part of
-    shown, place = [None, *(b for b in found if not b.widget), None], 1
+    shown, place = [None, None, *(b for b in found if not b.widget), None, None], 2
     for b in found:
-        article, furniture, header, bad, good, heading, hidden = map(float, b.flags)
-        b.row = [*size(b), *size(shown[place - 1]), *size(shown[place if b.widget else place + 1]), article, has, furniture, header, bad, good, heading, hidden]
+        after = place if b.widget else place + 1
+        standing = 0.0 if telling is None else 1.0 if b.flags[telling] else -1.0
+        b.row = [*size(b), *size(shown[place - 1]), *size(shown[after]), *size(shown[place - 2]), *size(shown[after + 1]), standing, *map(float, b.flags[2:]), *(float(o is not None and o.element == b.element) for o in (shown[place - 1], shown[after]))]
         place += not b.widget
     return found
 
 
-#: The labelled table: pages whose blocks begin with + (article) or - (everything else).
-LABELLED = (
-    "<nav><ul><li><a>-home</a></li><li><a>-news</a></li></ul></nav><div class=ad>-buy one of these now</div><article><h1>+a long title of it</h1>"
-    "<p>+one</p><p>+two words</p><p>+a paragraph that goes on for quite a few words more than the ones before</p></article><footer>-the site, all rights</footer>",
-    "<header><h1>-the site</h1><p>-its slogan of a few words</p></header><main><h2>+title</h2><p>+text</p><p>+see <a>here</a> for a longer text</p>"
-    "<p><a>+linked words</a></p><aside>-read this too</aside><p>+the end of it</p><section class=comments><p>-i think so too</p><p>-a longer comment "
-    "with many words that a reader has written under the article to say what they think of it and of all the rest</p></section></main><p>-outside</p>",
-    "<div id=header>-the site</div><div class=menu><a>-one</a> <a>two</a></div><div class=post><h1>+title here</h1><p>+a paragraph of many words that says "
-    "something and then goes on to say some more of it until it ends</p><p>+short one</p><p>+another paragraph with many words in it, twenty of them or so, which is "
-    "enough for what it is</p></div><div class=sidebar><p>-a teaser of some more words than the others have, to be read by no one</p></div><div id=footer>-legal</div>",
-    "<div><a>-top</a></div><div><a>-a</a><a>b</a> <a>c</a></div><h1>+a title of words</h1><p>+many words make up this paragraph, which has no container around it that "
-    "would say what it is</p><p>+and here is another such paragraph of many words, twenty or so, that follows it as the text goes on</p><p>+brief words between</p>"
-    "<p>+the last of the paragraphs, with as many words as the others have, so that the length tells what it is</p><p>-short</p><p><a>-next page</a></p><p><a>-back to top</a></p>",
-    "<article><header><h1>+title</h1><p>+by someone</p></header><p>+first text</p><form><label>-your mail</label></form><div class=cookie-notice><p>-we use some "
-    "small files, which we tell you with a long sentence of very many words that no one ever reads to its end, so help us</p></div><ul><li>+a point</li><li>+another</li></ul>"
-    "<div class=share><a>-share</a></div><footer>-filed under things</footer></article><div class=related><h3>-more</h3><p>-other story</p></div>",
-    "<div class=banner>-a message to all who come here to read</div><div class=content><p>+words</p><p>+more words here</p><div class=advert>-buy</div>"
-    "<p>+a paragraph of a dozen words or even a few more than that</p><div id=comments>-said someone who had read all of it to the very end today</div></div>",
-    "<p>-log in</p><ul><li><a>-a</a></li><li><a>-b</a></li><li><a>-c</a></li></ul><p>+this page has no names at all but a long paragraph with many words that must be its "
-    "article</p><p>+of two such paragraphs, each of which has a good many words, so that they stand out from the rest</p><ul><li><a>-x</a></li><li><a>-y</a></li></ul><p>-copyright</p>",
-    "<main><p>+the only text</p></main><footer><p>-a footer of many words which says who owns it all, where they are, and what they allow you to do with it</p></footer>",
-    "<article><p>+one</p></article><div>-a box with many words that stands outside of the article and says what else there is to see on this site today</div>",
-    "<article><h1>+t</h1><p><a>+a</a></p><blockquote>+quoted</blockquote><div hidden>-not shown</div><nav><a>-page two</a></nav><p>+end</p></article>",
-    "<p><a>-home</a> <a>all</a></p><h1>+a title with words</h1><p>+a long paragraph, of which there are two on this page, that says what there is to say in so many "
-    "words</p><p>+the other paragraph, with which the page ends, as there is no footer that comes after it and nothing else either</p>",
-    "<article><p>+x</p></article>",
-    "<main><p>+a word</p></main>",
-    "<nav><a>-a</a></nav><article><p>+x</p></article><footer>-f</footer>",
-    "<div class=ad>-x</div><article><h1>+only a title</h1></article><aside>-y</aside>",
-    "<header>-x</header><article><p><a>+linked</a></p><p>+y</p></article>",
-    "<section><p>-cheap things for you</p></section><article><p>+short</p></article><section><p>-cheap things for you and for all of your friends who like to buy them</p></section>",
-)
-
-
-#: Lengths at which the labelled pages with telling elements or names are read: there, a block's
-#: standing does not depend on its words.
-LENGTHS = (1, 4, 12)
-
-
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    rows, labels = [], []
-    for page in LABELLED:
-        for n in LENGTHS if re.search(r"<article|<main|class=|id=", page) else (1,):
-            longer = re.sub(r">([+-])([^<]+)", lambda m, n=n: ">" + m[1] + " ".join([m[2]] * n), page)
-            for b in blocks_of(longer):
-                rows.append(b.row)
-                labels.append(float(b.text[0] == "+"))
-    return np.array(rows), np.array(labels)
+#: Pages of the labelled table, and the seed of the rule that writes them.
+PAGES, SEED = 1200, 8
+
+
+def _labelled_page(rng: random.Random) -> str:
+    """A page whose blocks begin with + (article) or - (everything else). Half of the pages tell the
+    article by its element, a quarter some furniture by name, a quarter nothing: there only lengths,
+    links and neighbours do."""
+    telling = rng.choice(("element", "element", "names", "nothing"))
+    text = lambda n: " ".join("word" for _ in range(max(1, n)))
+    n = lambda a, b: rng.randint(a, b)
+    long = lambda: min(150, 12 + int(rng.expovariate(1 / 40)))
+    named = lambda *names: f' class="{rng.choice(names)}"' if telling == "names" else ""
+    element = lambda name: name if telling == "element" or rng.random() < 0.4 else "div"
+    links = lambda k, inner="li": "".join(f"<{inner}><a>-{text(n(1, 4))}</a></{inner}>" for _ in range(k))
+    advert = lambda: f"<div{named('ad', 'ad-slot', 'promo', 'banner-top')}>-{text(n(2, 14))}</div>"
+
+    p = rng.choice(("p", "p", "p", "div"))
+
+    def nav() -> str:
+        name = element("nav")
+        return rng.choice((f"<{name}{named('menu', 'navbar')}><ul>{links(n(2, 9))}</ul></{name}>", f"<div><p><a>-{text(n(1, 3))}</a> <a>{text(2)}</a></p></div>", f"<div>{links(n(1, 5), 'p')}</div>"))
+
+    def body() -> str:
+        out = [f"<h1>+{text(n(1, 12))}</h1>"] if rng.random() < 0.85 else []
+        if rng.random() < 0.2:
+            out.append(f"<p>+by {text(n(1, 3))}</p>")
+        # an article has a paragraph of some length, among them short ones as well
+        sizes = [long(), *(rng.choice((long(), long(), long(), n(1, 6))) for _ in range(n(0, 7)))]
+        for size in sizes if rng.random() < 0.5 else rng.sample(sizes, len(sizes)):
+            tail = f" <a>{text(n(1, max(1, size // 4)))}</a>" if rng.random() < 0.25 and size > 4 else ""
+            out.append(f"<{p}>+{text(size)}{tail}</{p}>")
+            if rng.random() < 0.12:
+                out.append(f"<h2>+{text(n(1, 6))}</h2><p>+{text(long())}</p>")
+            if rng.random() < 0.08:
+                out.append("<ul>" + "".join(f"<li>+{text(n(2, 20))}</li>" for _ in range(n(2, 5))) + "</ul>")
+            if rng.random() < 0.05:
+                out.append(f"<blockquote>+{text(long())}</blockquote>")
+            if rng.random() < 0.05 and telling != "nothing":
+                out.append(f'<div class="{rng.choice(("ad", "promo", "share", "related"))}">-{text(n(1, 14))}</div>')
+            if rng.random() < 0.05 and telling == "element":
+                out.append(rng.choice((f"<form><label>-{text(n(1, 5))}</label></form>", f"<button>-{text(n(1, 3))}</button>", f"<aside>-{text(n(1, 30))}</aside>", f"<nav><a>-{text(2)}</a></nav>", f"<div hidden>-{text(n(1, 30))}</div>")))
+            if rng.random() < 0.04 and telling != "nothing":  # a name that misleads
+                out.append(f'<div class="{rng.choice(("menu", "banner", "related"))}"><p>+{text(40 + long())}</p><p>+{text(30 + long())}</p></div>')
+        if telling == "element" and rng.random() < 0.3:
+            out.append(rng.choice((f"<p>+{text(n(1, 3))}</p>", f"<p><a>+{text(n(1, 8))}</a></p>")))
+        return "".join(out)
+
+    def comments() -> str:
+        said = "".join(f"<p>-{text(n(1, 60))}</p>" for _ in range(n(1, 4)))
+        return f'<section class="{rng.choice(("comments", "comment-list", "replies"))}">{said}</section>'
+
+    def footer() -> str:
+        name = element("footer")
+        return rng.choice((f"<{name}{named('footer', 'page-footer')}>-{text(n(1, 16))}</{name}>", f"<{name}><a>-{text(2)}</a> <a>{text(2)}</a></{name}>", ""))
+
+    if telling == "element":
+        name = rng.choice(("article", "article", "main"))
+        header = f"<header><p>-{text(n(1, 8))}</p></header>" if rng.random() < 0.4 else ""
+        inner = rng.choices(("p", "div", "li", "h2", "td", "blockquote"), k=6)
+        inner = inner if rng.random() < 0.5 else inner[:1] * 6
+        bits = [f"<{t}>{link}+{text(n(1, 9))}{link and '</a>'}</{t}>" for t, link in zip(inner[: n(1, 6)], rng.choices(("", "", "", "<a>"), k=6))]
+        if rng.random() < 0.2:
+            bits.append(f"<button>-{text(n(1, 3))}</button>")
+        small = f"<{name}>{''.join(bits)}</{name}>"
+        middle = small if rng.random() < 0.45 else f"<{name}>{body()}{comments() if rng.random() < 0.3 else ''}</{name}>"
+        aside = f"<div><p>-{text(long())}</p></div>" if name == "article" and rng.random() < 0.3 else f"<aside><p>-{text(n(2, 40))}</p></aside>"
+    else:
+        header = f"<div>-{text(n(1, 6))}</div>" if rng.random() < 0.4 else ""
+        middle = f"<div>{body()}</div>" if rng.random() < 0.7 else body()
+        middle += comments() if telling == "names" and rng.random() < 0.4 else ""
+        aside = rng.choice(("", f"<div>{links(n(3, 8))}</div>", f"<div class=sidebar><p>-{text(n(2, 40))}</p></div>" if telling == "names" else ""))
+    if rng.random() < (0.4 if telling == "element" else 0.2):  # a page of nothing else, or of one paragraph
+        return middle if rng.random() < 0.6 else f"<{'div' if telling != 'element' else 'article'}><{p}>+{text(long())}</{p}>"
+    parts = (header, nav() if rng.random() < 0.85 else "", advert() if rng.random() < 0.6 else "", middle, aside if rng.random() < 0.6 else "", nav() if rng.random() < 0.2 else "", footer())
+    return "".join(parts)
+
+
+def labelled_table(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (1: article) of the blocks of the labelled pages."""
+    rng = random.Random(seed)
+    found = [b for _ in range(pages) for b in blocks_of(_labelled_page(rng))]
+    return np.array([b.row for b in found]), np.array([float(b.text[0] == "+") for b in found])
 
 
 def train() -> Node:
-    return grow(*labelled_table())
+    return grow(*labelled_table(), depth=16, least=8)
 
 
 def main_text(page: str | None, model: Node) -> str:
@@ -278,17 +328,17 @@ def extract_html(pages: DataFrame, html_col: str = "html", model: Node | None =
     """
     tree = model or train()
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(*kept, F.col(html_col).alias("_html"))
-    schema = rows.drop("_html").schema.add("text", "string").add("n_chars", "long")
+    rows = pages.select(*map(named, (*kept, html_col)))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_html"):
-                texts = [main_text(h, tree) for h in part.column("_html").to_pylist()]
+            for part in slices(batch, html_col):
+                texts = [main_text(h, tree) for h in part.columns[-1].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    [*part.schema.names[:-1], "text", "n_chars"],
+                    schema.names,
                 )
 
     return rows.mapInArrow(run, schema)
