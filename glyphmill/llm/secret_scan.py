@@ -1,13 +1,14 @@
 """Secret scan: fixed patterns, and a character convolutional network over every candidate.
 
-Candidates are the runs of 16 or more characters of the alphabet that keys and tokens are written in,
-but for filler of one to three different characters, which counts as not found in the calibration too.
-The network reads a candidate with the text around it: one-hot characters, a convolution, the maximum
-over positions, a logistic output. It is trained on labelled findings that a seeded rule writes
-(keys of many shapes against words, names, paths, numbers and the like), its output is calibrated by
-Platt scaling on a second part of them, and each group of candidates (after a telling word, or bare)
-has the highest threshold that still finds RECALL of that part's secrets. A candidate longer than the
-network's field is read in overlapping fields, and its best one counts.
+Candidates are the runs of 16 or more characters of the alphabet that keys and tokens are written in;
+one that lies within what the fixed patterns have found already is not asked about again, one that
+only touches it is judged whole. The network reads a candidate with the text around it: one-hot
+characters, a convolution, the maximum and mean over positions, a logistic output. It is trained on
+labelled findings that a seeded rule writes (keys of many shapes against words, names, paths, numbers,
+filler and the like; words are drawn from no language). A second part of them calibrates its output by
+Platt scaling, and from a third each group of candidates (after a telling word, or bare) has the highest
+threshold that still finds RECALL of its secrets. A candidate longer than the network's field is read in
+overlapping fields, and its best one counts.
 
 What the patterns find stays, whatever the network says of it.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,14 +38,12 @@ KINDS = ("assign", "access", "hex", "model")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-#: Different characters that filler has at most: lines, dots, padding.
-FILLER = 3
 #: Words shortly before a candidate that put it in the group of told ones.
 TELLING = re.compile(r"(?:key|auth|bearer|credential|private|secret|token|pwd|pass|access|signature)\w*\W{0,4}$", re.I)
 #: Share of the labelled secrets that each group's threshold must find.
 RECALL = 0.97
-#: Labelled findings in all: three parts train, one calibrates.
-FINDINGS = 2400
+#: Labelled findings in all: three parts of five train, one calibrates, one sets the thresholds.
+FINDINGS = 4000
 LEFT, INSIDE, RIGHT = 20, 40, 4
 FIELD = LEFT + INSIDE + RIGHT
 _SYMBOLS = " \"'=:+/_-.,\n"
@@ -51,10 +51,6 @@ _CHANNELS = 26 + 3 + len(_SYMBOLS) + 1  # letters, upper, digit, inside, symbols
 WIDTH, FILTERS = 4, 16
 
 
-def is_filler(run: str) -> bool:
-    return len(set(run)) <= FILLER
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the fixed patterns find."""
     found = []
@@ -68,10 +64,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _pseudo_word(rng: random.Random, least: int) -> str:
-    parts = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ch sch ung heit keit lich ver ment tion eau ien que pf tz zu ge be ie ach ein st pf chst tz ción mente asó arr lla".split()
-    out = ""
+    """A word of no language: syllables of up to two consonants, one or two vowels, and maybe a last one."""
+    consonants, vowels, out = "bcdfghjklmnpqrstvwxyz", "aeiou", ""
     while len(out) < least:
-        out += rng.choice(parts)
+        out += "".join(rng.choices(consonants, k=rng.randint(0, 2))) + "".join(rng.choices(vowels, k=rng.choice((1, 1, 2)))) + (rng.choice(consonants) if rng.random() < 0.3 else "")
     return out.capitalize() if rng.random() < 0.2 else out
 
 
@@ -101,7 +97,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
         lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}.{rng.randint(10, 59)}.{rng.randint(10, 59)}",
         lambda: pick(digits, 16, 24),
         lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)) + "." + pick(digits, 4, 8),
-        lambda: rng.choice("=-._+") * rng.randint(16, 60),
+        lambda: rng.choice("=-._+" + lower + digits) * rng.randint(16, 60),
+        lambda: (pick("=-._+/" + lower, 1, 3) * 60)[: rng.randint(16, 60)],
         lambda: f"www.{word(4)}.example.com/{word(3)}/{word(3)}",
         lambda: f"{word(5)}.{rng.randint(10, 99)}mail{rng.randint(1, 9)}.example.com",
         lambda: "-".join(pick("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)),
@@ -189,9 +186,8 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, epochs: int =
     x = one_hot([fields(t, a, b)[0] for t, a, b, _ in findings])
     y = np.array([f[3] for f in findings], dtype=np.float32)
     told = np.array([bool(TELLING.search(t[max(0, a - 40) : a])) for t, a, _, _ in findings])
-    part = np.arange(len(y)) // 2 % 4
-    read = np.array([not is_filler(t[a:b]) for t, a, b, _ in findings])
-    own, held = np.flatnonzero(part < 3), np.flatnonzero(part == 3)
+    part = np.arange(len(y)) // 2 % 5
+    own, scaled, held = np.flatnonzero(part < 3), np.flatnonzero(part == 3), np.flatnonzero(part == 4)
     w = {
         "f": (rng.normal(size=(WIDTH * _CHANNELS, FILTERS)) * 0.15).astype(np.float32), "o": np.zeros(FILTERS, np.float32),
         "v": (rng.normal(size=2 * FILTERS) * 0.2).astype(np.float32), "b": np.zeros(1, np.float32),
@@ -218,13 +214,12 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, epochs: int =
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 w[k] = w[k] - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     net = Network(w["f"], w["o"], w["v"], float(w["b"][0]))
-    judged = held[read[held]]
-    m, a, c = net.margin(x[judged]), 1.0, 0.0
+    m, a, c = net.margin(x[scaled]), 1.0, 0.0
     for _ in range(400):  # Platt scaling
-        g = 1 / (1 + np.exp(-np.clip(a * m + c, -40, 40))) - y[judged]
+        g = 1 / (1 + np.exp(-np.clip(a * m + c, -40, 40))) - y[scaled]
         a, c = a - 0.02 * float((g * m).mean()), c - 0.1 * float(g.mean())
     net = Network(net.filters, net.offset, net.out, net.bias, a, c)
-    score = np.where(read[held], net.score(x[held]), 0)
+    score = net.score(x[held])
     limits = []
     for group in (False, True):
         hits = np.sort(score[(told[held] == group) & (y[held] > 0)])
@@ -232,6 +227,17 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, epochs: int =
     return Network(net.filters, net.offset, net.out, net.bias, a, c, tuple(limits))
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that sorted spans cover together."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def scan(texts: list[str | None], net: Network) -> list[tuple[list, list]]:
     """(base spans, spans of the network) of each text, as (start, kind, end)."""
     found, rows, owner = [], [], []
@@ -239,8 +245,10 @@ def scan(texts: list[str | None], net: Network) -> list[tuple[list, list]]:
         text = text or ""
         base = base_spans(text)
         found.append((base, []))
+        covered = _merged(base)
         for m in CANDIDATE.finditer(text):
-            if is_filler(m[0]) or any(s < m.end() and m.start() < e for s, _, e in base):
+            at = bisect_right(covered, (m.start(), len(text) + 1)) - 1
+            if at >= 0 and covered[at][1] >= m.end():
                 continue
             told = bool(TELLING.search(text[max(0, m.start() - 40) : m.start()]))
             for f in fields(text, m.start(), m.end()):
@@ -265,8 +273,8 @@ def scan_secrets(docs: DataFrame, net: Network | None = None, id_col: str = "doc
 
     spans has all spans as kind:start:end in code points, by start and then kind, comma-joined;
     base_sha256 is the digest of those of the fixed patterns. Null text counts as empty and has none.
-    Spans of different kinds may overlap; one of the network's never overlaps another. Texts are read
-    whole; repeated rows repeat their result; other columns are ignored. An empty table gives an empty
+    Spans of different kinds may overlap; two of one kind never do. Texts are read whole; repeated rows
+    repeat their result, tied scores count alike; other columns are ignored, whatever their names. An empty table gives an empty
     result.
     """
     spark = ship(docs.sparkSession)
