@@ -1,10 +1,13 @@
 """Operators that read one text at a time."""
 
 import base64
+import collections
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -313,4 +316,81 @@ def test_pii_of_other_shapes(frame, rng):
     assert got[n + 4].spans == "ip:11:22" and got[n + 5].spans == got[n + 6].spans == ""
     spaced = "+33 6 12 34 56 78"
     found = pii.candidates(pii._with_base(frame([f"at {spaced} so", "iban DE89 3704 0044 0532 0130 00 so"]), "doc_id", "text")).collect()
-    assert [r.kind for r in found if r.said == spaced] == [3] and any(r.said == "DE89 3704 0044 0532 0130 00" and r.phrase for r in found)
+    assert [r.kind for r in found if r.said == spaced] == [3] and any(r.said == "DE89 3704 0044 0532 0130 00" and r.whole for r in found)
+
+
+def brute_bootstrap(rows):
+    """Known instances of (said, kind, left2, left, right, whole) rows, by rounds over plain dictionaries."""
+    spelled = re.compile(r"@|[(\[{] ?(?:at|AT|@) ?[)\]}]| (?:dot|DOT) ")
+
+    def fits(said):
+        n = len(re.sub("[^0-9]", "", said))
+        quad = re.search(r"^[0-9]+(?:\.[0-9]+){3}$", said)
+        return (
+            spelled.search(said), re.search(r"^\[?[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,}\]?$", said) and n >= 1,
+            re.search(r"^[A-Z0-9](?:[ -]?[A-Z0-9])*$", said) and 12 <= n <= 34, re.search(r"^[+(]?[0-9][ ()./0-9-]*$", said) and not quad and 7 <= n <= 15,
+        )
+
+    graph = collections.defaultdict(set)
+    known = {}
+    for said, kind, left2, left, right, whole in rows:
+        graph["form", re.sub("[0-9]", "9", re.sub(r"[^\W\d_]+", "a", said))].add(said)
+        for k, fit in enumerate(fits(said)):
+            if fit and whole:
+                for p in ((0, k, left), (1, k, left2, left), (2, k, right), (3, k, left, right)):
+                    graph[p].add(said)
+        if kind is not None:
+            known[said] = min(kind, known.get(said, 9))
+    while True:
+        doubt = collections.defaultdict(float)
+        for p, saids in graph.items():
+            votes = collections.Counter(known[x] for x in saids if x in known)
+            if not votes:
+                continue
+            kind, hits = min(votes.items(), key=lambda v: (-v[1], v[0]))
+            n, share = len(saids), hits / len(saids)
+            worth = (share + 1.96**2 / (2 * n) - 1.96 * math.sqrt((share * (1 - share) + 1.96**2 / (4 * n)) / n)) / (1 + 1.96**2 / n)
+            if hits >= pii.SUPPORT and worth >= (pii.FORM_LIMIT if p[0] == "form" else pii.CONTEXT_LIMIT):
+                for x in saids:
+                    doubt[x, kind] += math.log(max(1 - worth, 1e-9))
+        new = {}
+        for (x, kind), d in doubt.items():
+            if x not in known and 1 - math.exp(d) >= pii.INSTANCE_LIMIT:
+                new[x] = max(new.get(x, (0, 0)), (round(1 - math.exp(d), 9), -kind))
+        if not new:
+            return known
+        known |= {x: -v[1] for x, v in new.items()}
+
+
+def test_pii_bootstrap(spark, frame, rng):
+    """Contexts of seeds teach shapes that no seed has, these teach new contexts, to the end; brute force agrees."""
+    d = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    w = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    texts = [f"please contact me at {w()}{d(2)}@{w()}.com today" for _ in range(120)] + [f"you may call +{rng.randint(1, 9)}{d(2)} {d(7)} now" for _ in range(800)]
+    n = len(texts)
+    texts += [(f"please contact me at {w()} at {w()} dot com today", f"please contact me at {w()}(at){w()} today")[i % 2] for i in range(40)] + [f"you may call {d(3)} {d(4)} now" for _ in range(400)]
+    m = len(texts)
+    texts += [f"her number {d(3)} {d(4)} here" for _ in range(18)] + [f"her number {d(3)}/{d(3)}-{d(2)} here" for _ in range(2)]  # by form, then by the context
+    k = len(texts)
+    texts += ["you may call me now", "contact me at home today", "in 2024 there were 3000 or 1234567 such, see at the end dot com", "please contact me at 12 today", "we met at noon"] * 5
+    df = frame(texts)
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert sum(got[i].n_added for i in range(n, m)) >= 0.9 * (m - n) and not any(got[i].n_added for i in [*range(n), *range(k, len(texts))])
+    assert got[n].spans.startswith("email:21:") and got[m - 1].spans == "phone:13:21" and sum(got[i].n_added for i in range(m, k)) == 20
+    found = pii.candidates(pii._with_base(df, "doc_id", "text"))
+    rows = [tuple(r) for r in found.select("said", "kind", "left2", "left", "right", "whole").collect()]
+    assert {r.said: r.kind for r in pii.bootstrap(found).collect()} == brute_bootstrap(rows)
+
+
+def test_pii_of_odd_tables(spark, frame):
+    """Repeated rows count once as instances; columns may clash; long texts take time in proportion."""
+    df = frame(["call 5 a@b.co", "call 5 a@b.co", "call 5 a@b.co"], [4, 4, None]).withColumns({c: F.lit("x") for c in ("tag", "base", "spans", "n_email", "_email", "kind", "b_start")})
+    rows = pii.find_pii(df).collect()
+    assert len(rows) == 3 and all((r.n_email, r.n_added, r.spans) == (1, 0, "email:7:13") for r in rows)
+    assert pii.candidates(pii._with_base(df, "doc_id", "text")).where("doc_id = 4").count() == 2
+    began = time.time()
+    long = pii.find_pii(frame([" ".join(f"a{i}@b{i}.com" for i in range(32_000)), " so ".join(f"a{i}@b{i}.com," for i in range(8000))])).collect()
+    assert sorted(r.n_email for r in long) == [8000, 32_000] and time.time() - began < 60
+    run = spark.createDataFrame([(list(range(3000)),)], "x array<int>").select(F.transform("x", lambda i: F.struct((i * 3).alias("start"), (i * 3 + 4).alias("end"), F.lit(1).alias("k"))).alias("s"))
+    kept = run.select(pii._apart(F.col("s")).alias("s")).first().s
+    assert [(r.start, r.end) for r in kept] == [(i * 6, i * 6 + 4) for i in range(1500)]
