@@ -30,6 +30,26 @@ def test_exact_dedup(spark, frame, rng):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in want.values()) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_exact_dedup_digit_by_digit(spark, frame, rng, monkeypatch):
+    """Groups that part at any digit, end at a digit's end, or are longer than all widths; with and without broadcast."""
+    alphabet = "ab "
+    for widths, limit in (((2, 3, 4, 5), 10**6), ((3, 4), 0), ((64, 256, 1024), 0)):
+        monkeypatch.setattr(exact_dedup, "WIDTHS", widths)
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", limit)
+        stem = "".join(rng.choice(alphabet) for _ in range(5000))
+        texts = [stem[: rng.choice([0, 1, 2, 3, 5, 9, 14, 15] if widths[0] < 64 else [2, 64, 320, 1344])] + rng.choice(["", "", "a", "b"]) for _ in range(120)] + [None, ""]
+        texts += [stem, stem, stem + "a"] if widths[0] == 64 else []
+        ids = [rng.randrange(80) for _ in texts]
+        groups = collections.defaultdict(list)
+        for i, t in zip(ids, texts, strict=True):
+            groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+        want = sorted((i, min(g), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+        clash = frame(texts, ids).withColumns({c: F.lit("x") for c in ("uid", "tag", "digit", "gid", "_id", "_sha", "keep", "n")})
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(clash).collect()) == want
+        kept = exact_dedup.drop_copies(clash)
+        assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for t, g in groups.items() for i in g if i == min(g))
+
+
 def test_exact_dedup_of_odd_ids(spark, frame):
     rows = exact_dedup.exact_dedup(frame(["a", "a", "a", "b", "c", "c"], [5, 5, None, 5, None, None])).collect()
     got = sorted(((r.doc_id or -1), (r.keep_id or -1), r.group_size, r.kept) for r in rows)
