@@ -14,7 +14,7 @@ _ASCII_PUNCT = r"!-/:-@\[-`{-~"
 _ASCII_IGNORED = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F"
 _PLAIN_PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Elements of a block of running_starts().
-_BLOCK = 256
+_BLOCK = 64
 
 
 def _beyond_ascii(ranges) -> str:
@@ -121,8 +121,81 @@ def fold(word: Column, lower: bool, wide: bool = True) -> Column:
     return F.when(plain, F.lower(word)).otherwise(F.array_join(F.transform(F.split(bare, ""), one), ""))
 
 
+@cache
+def _plain_class(lower: bool) -> str:
+    """The inside of a bracket that matches the characters of plain texts: those that tokens neither drop
+    nor, in lower mode, fold to any other number of characters."""
+    odd = set(range(0xAC00, 0xD7A4)) if lower else set()
+    if lower:
+        odd |= {ord(a) for a, b in u.fold_table().items() if len(b) != 1}
+    dropped = u.non_ascii_classes()["I"]
+    taken, gaps, at = sorted([*dropped, *((cp, cp) for cp in odd if cp >= 0x80)]), [], 0x80
+    for first, last in taken:
+        if first > at:
+            gaps.append((at, first - 1))
+        at = max(at, last + 1)
+    return r"\t\n\r -~" + u.regex_ranges(gaps)  # Latin letters come first, as the most common
+
+
+def is_plain(text: Column, lower: bool, specials: tuple[str, ...]) -> Column:
+    """Whether a text holds no special token and plain characters only: its tokens are then those of the
+    folded text, at the same places."""
+    plain = ~text.rlike(f"[^{_plain_class(lower)}]")
+    for s in specials:
+        plain = plain & ~text.contains(s)
+    return plain
+
+
+def _plain_text(text: Column, lower: bool) -> Column:
+    if not lower:
+        return text
+    source, target, _ = _tables(True)
+    one = source[: len(target)]
+    return F.when(text.rlike("^[ -~\\s]*+$"), F.lower(text)).otherwise(F.translate(text, one + "".join(map(chr, u.FOLDS_TO_PUNCTUATION)), target + "".join(u.FOLDS_TO_PUNCTUATION.values())))
+
+
+def _plain_pattern(lower: bool) -> str:
+    c = classes(lower)
+    return f"[{c['W']}]++|[{c['P']}]|[{c['K']}]"
+
+
+def token_strings(text: Column, lower: bool = True, specials: tuple[str, ...] = ()) -> Column:
+    """array<string>: the tokens of basic_tokens() without their places; one regex for plain texts."""
+    slow = F.transform(_general_tokens(text, lower, specials, "codepoint"), lambda x: x["token"])
+    return F.when(is_plain(text, lower, specials), F.regexp_extract_all(_plain_text(text, lower), F.lit(_plain_pattern(lower)), F.lit(0))).when(text.isNotNull(), slow)
+
+
 def basic_tokens(text: Column, lower: bool = True, specials: tuple[str, ...] = (), offset_unit: str = "codepoint") -> Column:
-    """array<struct<start, end, token>> of a text: no shuffle, no window, no Python."""
+    """array<struct<start, end, token>> of a text: no shuffle, no window, no Python.
+
+    Plain texts, nearly all, are folded as a whole; tokens and the stretches between them then come from
+    two regexes, and only lengths are added up. Others are partitioned and folded run by run.
+    """
+    pattern = F.lit(_plain_pattern(lower))
+    size = F.octet_length if offset_unit == "byte" else F.length
+    folded = _plain_text(text, lower)
+    measured = text if offset_unit == "byte" else folded  # a fold keeps characters, not bytes
+
+    def placed(tokens: Column) -> Column:
+        own = F.regexp_extract_all(measured, pattern, F.lit(0)) if offset_unit == "byte" else tokens
+
+        def between(runs: Column) -> Column:
+            gaps = F.slice(F.split(measured, _plain_pattern(lower), -1), 1, F.size(runs))
+            gap, length = F.transform(gaps, lambda g: size(g)), F.transform(runs, lambda r: size(r))
+            return let(F.struct(gap.alias("gap"), length.alias("length")), lambda n: ends(n["gap"], n["length"]))
+
+        def ends(gap: Column, length: Column) -> Column:
+            before = let(F.zip_with(gap, length, lambda g, n: g + n), running_starts)
+            starts = F.zip_with(before, gap, lambda s, g: s + g)
+            return let(starts, lambda s: F.arrays_zip(s, F.zip_with(s, length, lambda a, n: a + n), tokens).cast("array<struct<start:int,end:int,token:string>>"))
+
+        return let(own, between)
+
+    plain = let(F.regexp_extract_all(folded, pattern, F.lit(0)), placed)
+    return F.when(is_plain(text, lower, specials), plain).when(text.isNotNull(), _general_tokens(text, lower, specials, offset_unit))
+
+
+def _general_tokens(text: Column, lower: bool, specials: tuple[str, ...], offset_unit: str) -> Column:
     c = classes(lower)
     runs = F.regexp_extract_all(text, F.lit(partition_pattern(lower, specials)), F.lit(0))
     size = F.octet_length if offset_unit == "byte" else F.length

@@ -82,7 +82,7 @@ class Tokenizer:
         if text.isascii():
             return spans
         at = [0]
-        for c in text:
+        for c in text[: max((b for _, b, _ in spans), default=0)]:
             at.append(at[-1] + len(c.encode("utf-8", "surrogatepass")))
         return [(at[a], at[b], t) for a, b, t in spans]
 
@@ -124,8 +124,8 @@ class Tokenizer:
         pm = self._origin(run)
         return tuple((p, pm[a], pm[a] + 1 if pm[a] == pm[b] else pm[b]) for a, b, p in pieces)
 
-    def wordpiece(self, text: str) -> tuple[list[str], list[int]]:
-        """Pieces and flat offsets."""
+    def wordpiece(self, text: str, most: int | None = None) -> tuple[list[str], list[int]]:
+        """Pieces and flat offsets; with most, of the words as far as so many pieces."""
         text = self.text(text)
         out: list[tuple[int, int, str]] = []
         cache = self.cache
@@ -139,6 +139,8 @@ class Tokenizer:
                         cache[run] = found
                 at = m.start()
                 out += [(at + a, at + b, p) for p, a, b in found]
+                if most is not None and len(out) >= most:
+                    break
         if not self.config.codepoint_level:
             out = self._in_bytes(text, out)
         return [p for _, _, p in out], [x for a, b, _ in out for x in (a, b)]
@@ -150,7 +152,8 @@ class Tokenizer:
 
     def encode(self, text: str, add_cls_sep: bool = True, truncation: bool = True, max_length: int = 512) -> list[int]:
         check_length(max_length, add_cls_sep)
-        ids = self.token_ids(self.wordpiece(text)[0], add_cls_sep)
+        # what lies beyond the cut is never seen, so it is not read
+        ids = self.token_ids(self.wordpiece(text, max_length + 1 if truncation else None)[0], add_cls_sep)
         if truncation and len(ids) > max_length:
             ids = ids[:max_length]
             if add_cls_sep:
@@ -160,7 +163,7 @@ class Tokenizer:
     def encode_with_ids(self, text: str, add_cls_sep: bool = True, padding: bool = True, truncation: bool = True, max_length: int = 512):
         """(input_ids, token_type_ids, attention_mask, offsets)."""
         check_length(max_length, add_cls_sep)
-        tokens, offsets = self.wordpiece(text)
+        tokens, offsets = self.wordpiece(text, max_length + 1 if truncation else None)
         ids = self.token_ids(tokens, add_cls_sep)
         if truncation and len(ids) > max_length:
             ids = ids[:max_length]

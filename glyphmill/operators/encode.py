@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernel import Config, Tokenizer, check_length
-from ..session import ship
-from ..sources.tables import zero_padded
-from ..sources.vocab import Vocab
+from ..session import is_local, ship, written
+from ..sources.tables import spread, zero_padded
+from ..sources.vocab import MAX_BROADCAST_TOKENS, Vocab
 
 _INTS = T.ArrayType(T.IntegerType(), False)
 ENCODING = ("input_ids", "token_type_ids", "attention_mask", "offsets")
@@ -28,12 +29,25 @@ def _tokenizer(shared) -> Tokenizer:
     return _BUILT[shared.id]
 
 
+_OPEN: list = []
+
+
+def close() -> None:
+    """Release the vocabularies that encoders have broadcast: from executors at once, from the driver with
+    the frames that use them. Frames made before read them again if they are run."""
+    while _OPEN:
+        _OPEN.pop().unpersist()
+
+
 class _Shared:
     """A broadcast and its id, which the worker's cache is keyed by."""
 
     def __init__(self, df: DataFrame, vocab: Vocab, config: Config):
+        if len(vocab) > MAX_BROADCAST_TOKENS:
+            raise ValueError(f"a vocabulary of more than {MAX_BROADCAST_TOKENS} tokens is not broadcast: use wordpiece_rows(), which joins it")
         self.broadcast = ship(df.sparkSession).sparkContext.broadcast((vocab.tokens, config))
         self.id = hash((vocab.tokens, config))
+        _OPEN.append(self.broadcast)
 
     @property
     def value(self):
@@ -43,7 +57,7 @@ class _Shared:
 def _mapped(df: DataFrame, text_col: str, vocab: Vocab, config: Config, outs: dict[str, T.DataType], of: Callable) -> DataFrame:
     """df with columns ``outs``, of(tokenizer, text) giving their values; null text gives nulls."""
     shared = _Shared(df, vocab, config)
-    kept = df.drop(*outs)
+    kept = spread(df.drop(*outs))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(k, t) for k, t in outs.items())])
     at = kept.columns.index(text_col)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -98,9 +112,10 @@ def encode_batch(
     """Encodings of batches (rows that agree in batch_cols; none: the whole frame), padded with the pad
     token's id to the longest of the batch or to max_length.
 
-    The longest is an aggregation joined back, a row a batch, so that a batch of any size is never in
-    one task. ``shifted_arguments`` reproduces an implementation that passes on truncation as padding,
-    any max_length but 0 as truncation, and 512 as max_length.
+    The longest is an aggregation joined back, a row a batch, so that a batch of any size is never in one
+    task; rows are encoded once and written to the shared folder for both, where the session has one.
+    ``shifted_arguments`` reproduces an implementation that passes on truncation as padding, any
+    max_length but 0 as truncation, and 512 as max_length.
     """
     if shifted_arguments:
         rows = encode_with_ids(df, vocab, text_col, config, add_cls_sep, truncation, bool(max_length), 512)
@@ -108,26 +123,34 @@ def encode_batch(
         rows = encode_with_ids(df, vocab, text_col, config, add_cls_sep, False, truncation, max_length)
     if not padding:
         return rows
-    pad = F.lit(vocab.pad_id)
+    names = rows.columns
     if padding_to_max_length:
         longest = F.lit(max_length)
         if shifted_arguments:
             rows = rows.withColumns({c: F.slice(c, 1, max_length) for c in ENCODING[:3]})
-    elif batch_cols:
-        sizes = rows.groupBy(*batch_cols).agg(F.max(F.size("input_ids")).alias("_longest"))
-        named = sizes.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(batch_cols)), "_longest")
-        same = [rows[c].eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(batch_cols)]
-        condition = same[0]
-        for s in same[1:]:
-            condition = condition & s
-        rows = rows.join(named, condition, "left").drop(*(f"_b{i}" for i in range(len(batch_cols))))
-        longest = F.col("_longest")
+        plain = rows.toDF(*(f"c{i}" for i in range(len(names))))
     else:
-        longest = F.lit(rows.agg(F.max(F.size("input_ids"))).first()[0] or 0)
-    zero = F.lit(0)
-    return rows.withColumns(
-        {"input_ids": _filled("input_ids", pad, longest), "token_type_ids": _filled("token_type_ids", zero, longest), "attention_mask": _filled("attention_mask", zero, longest)}
-    ).drop("_longest")
+        rows = _once(rows)
+        plain = rows.toDF(*(f"c{i}" for i in range(len(names))))  # no column can clash with those added
+        own = [f"c{names.index(c)}" for c in batch_cols]
+        size = F.max(F.size(f"c{names.index('input_ids')}")).alias("longest")
+        if own:
+            sizes = plain.groupBy(*(F.col(c).alias(f"b{i}") for i, c in enumerate(own))).agg(size)
+            same = [F.col(c).eqNullSafe(F.col(f"b{i}")) for i, c in enumerate(own)]
+            plain = plain.join(sizes, functools.reduce(Column.__and__, same), "left")
+            longest = F.col("longest")
+        else:
+            longest = F.lit(plain.agg(size).first()[0] or 0)
+    fill = {"input_ids": F.lit(vocab.pad_id), "token_type_ids": F.lit(0), "attention_mask": F.lit(0)}
+    return plain.select(*((_filled(f"c{i}", fill[c], longest) if c in fill else F.col(f"c{i}")).alias(f"c{i}") for i, c in enumerate(names))).toDF(*names)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """rows written in the shared folder, as they are used twice; where the session names no folder, they
+    are made twice."""
+    spark = rows.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return written(rows, "encoded")[0] if named or is_local(spark) else rows
 
 
 def convert_tokens_to_ids(df: DataFrame, vocab: Vocab, tokens_col: str = "pieces", add_cls_sep: bool = False, out: str = "ids") -> DataFrame:

@@ -1,13 +1,14 @@
 """Greedy longest-match WordPiece.
 
 ``wordpiece_rows`` is a plan of joins: each distinct word is split once, then joined back to its
-occurrences. ``operators.encode`` fuses everything in one narrow pass over Arrow batches, which moves no
-text and is the default for encodings.
+occurrences; words that have no pieces need no row, so the words are counted in one pass and the
+occurrences in another. ``operators.encode`` fuses everything in one narrow pass over Arrow batches, which
+moves no text and is the default for encodings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernel import MAX_WORD_BYTES, Config
@@ -16,22 +17,21 @@ from .basic import basic_token_rows
 from .vocabulary import relation
 
 
-def split_words(words: DataFrame, vocab: Vocab, config: Config = Config(), word_col: str = "token") -> DataFrame:
-    """Distinct words with ``pieces``: the word itself where special or in the vocabulary, the unknown
-    token where too long or not to be made of pieces, else its pieces."""
-    v = relation(words, vocab)
-    word = F.col(word_col)
-    whole = v.select(F.col("token").alias("_w"))
-    known = words.join(whole, word == F.col("_w"), "left").withColumn("_hit", F.col("_w").isNotNull() | word.isin(*config.specials)).drop("_w")
+def _split(words: DataFrame, vocab: Vocab) -> DataFrame:
+    """(w, pieces) of the distinct words w that pieces make up whole, a word of the vocabulary being its
+    own piece: of each place in a word the longest piece is kept, and the walk takes those it comes to."""
     longest = max(map(len, vocab.tokens), default=0)
-    n = F.length(word)
-    open_words = known.where(~F.col("_hit") & (F.octet_length(word) <= MAX_WORD_BYTES)).select(word.alias("w"))
+    n = F.length("w")
+    # a word beyond the limit can only be in the vocabulary whole
+    starts = F.when(F.octet_length("w") <= MAX_WORD_BYTES, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1)))
+    sizes = F.when(F.octet_length("w") <= MAX_WORD_BYTES, F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), n - F.col("i") + 1))).otherwise(F.array(n))
     cuts = (
-        open_words.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("w"))))
-        .withColumn("m", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("i") + 1))))
+        words.where("w <> ''")
+        .withColumn("i", F.explode(starts))
+        .withColumn("m", F.explode(sizes))
         .withColumn("piece", F.concat(F.when(F.col("i") > 1, "##").otherwise(""), F.expr("substring(w, i, m)")))
     )
-    best = cuts.join(v.select(F.col("token").alias("piece")), "piece").groupBy("w", "i").agg(F.max("m").alias("m"))
+    best = cuts.join(relation(words, vocab).select(F.col("token").alias("piece")), "piece").groupBy("w", "i").agg(F.max("m").alias("m"))
     at = best.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("best"))
     walked = F.aggregate(
         F.sequence(F.lit(1), F.length("w")),
@@ -46,14 +46,29 @@ def split_words(words: DataFrame, vocab: Vocab, config: Config = Config(), word_
         ).otherwise(a),
         lambda a: F.when(a["ok"], a["out"]),
     )
-    split = at.select(F.col("w").alias("_w"), walked.alias("_pieces"))
-    return known.join(split, word == F.col("_w"), "left").select(
-        word, F.when(F.col("_hit"), F.array(word)).when(n == 0, F.array().cast("array<string>")).otherwise(F.coalesce("_pieces", F.array(F.lit(UNK)))).alias("pieces")
-    )
+    return at.select("w", walked.alias("pieces")).where("pieces is not null")
+
+
+def _pieces(word: Column, found: Column, config: Config) -> Column:
+    """The pieces of a word, found being those of _split(): the word itself where special, the unknown
+    token where there are none."""
+    special = word.isin(*config.specials) if config.specials else F.lit(False)
+    return F.when(special, F.array(word)).when(word == "", F.array().cast("array<string>")).otherwise(F.coalesce(found, F.array(F.lit(UNK))))
+
+
+def split_words(words: DataFrame, vocab: Vocab, config: Config = Config(), word_col: str = "token") -> DataFrame:
+    """Distinct words with ``pieces``: the word itself where special or in the vocabulary, the unknown
+    token where too long or not to be made of pieces, else its pieces."""
+    named = words.select(F.col(word_col).alias("w"))
+    found = _split(named, vocab).select("w", F.col("pieces").alias("p"))
+    return named.join(found, "w", "left").select(F.col("w").alias(word_col), _pieces(F.col("w"), F.col("p"), config).alias("pieces"))
 
 
 def wordpiece_rows(df: DataFrame, keys: list[str], vocab: Vocab, text_col: str = "text", config: Config = Config()) -> DataFrame:
     """One row per piece: the keys, pos (of the basic token), piece_idx, piece."""
-    tokens = basic_token_rows(df, keys, text_col, config).select(*keys, "pos", "token")
-    pieces = split_words(tokens.select("token").distinct(), vocab, config)
-    return tokens.join(pieces, "token").select(*keys, "pos", F.posexplode("pieces").alias("piece_idx", "piece"))
+    inner = [f"k{i}" for i in range(len(keys))]  # no key can clash
+    rows = df.select(*(F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)), F.col(text_col).alias("text"))
+    tokens = basic_token_rows(rows, inner, "text", config, offsets=False).withColumnRenamed("token", "w")
+    found = _split(tokens.select("w").distinct(), vocab)
+    pieces = tokens.join(found, "w", "left").select(*inner, "pos", F.posexplode(_pieces(F.col("w"), F.col("pieces"), config)).alias("piece_idx", "piece"))
+    return pieces.toDF(*keys, "pos", "piece_idx", "piece")

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.kernel import Config
 from ..operators import encode as enc
 from ..operators.basic import basic_token_rows
-from ..operators.vocabulary import contains, get_ids, get_tokens, vocab_from_corpus
+from ..operators.vocabulary import contains, get_ids, get_tokens, longest_prefix, prefix_rows, vocab_from_corpus
 from ..operators.wordpiece import wordpiece_rows
+from ..session import shared_path
 from ..sources.tables import table
 from ..sources.vocab import SPECIAL_TOKENS, Vocab
+from . import goldens
 
 LOWER, CASED = Config(), Config(lower=False)
 MAX_LENGTH = 128
@@ -57,13 +59,36 @@ def special_ids(spark, sf_dir):
     return spark.createDataFrame([(t, v.special_id(t)) for t in (*SPECIAL_TOKENS, "[NONE]")], "token string, id int")
 
 
+def vocab_file(spark, sf_dir):
+    """The corpus vocabulary as a file of lines, and loaded from it, blank lines and repeats aside."""
+    v = corpus_vocab(spark, sf_dir)
+    path = shared_path(spark, "vocab")
+    lines = "\n".join((*v.tokens[:9], "", v.tokens[3], *v.tokens[9:], "", v.tokens[0]))
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
+    return Vocab.load(spark, path).frame(spark)
+
+
+def vocab_saved(spark, sf_dir):
+    v, path = corpus_vocab(spark, sf_dir), shared_path(spark, "vocab")
+    v.save(spark, path)
+    return Vocab.restore(spark, path).frame(spark)
+
+
+def vocab_prefixes(spark, sf_dir):
+    return prefix_rows(table(spark, sf_dir, "benchmark"), ["item_id"], corpus_vocab(spark, sf_dir))
+
+
+def vocab_longest_prefix(spark, sf_dir):
+    return longest_prefix(table(spark, sf_dir, "documents").select("doc_id", "text"), corpus_vocab(spark, sf_dir)).select("doc_id", "prefix")
+
+
 def vocab_contains(spark, sf_dir):
-    tokens = basic_token_rows(table(spark, sf_dir, "benchmark"), ["item_id"]).select("item_id", "pos", "token")
+    tokens = basic_token_rows(table(spark, sf_dir, "documents"), ["doc_id"], offsets=False)
     return contains(tokens, corpus_vocab(spark, sf_dir))
 
 
 def get_id_or_unk(spark, sf_dir):
-    tokens = basic_token_rows(table(spark, sf_dir, "benchmark"), ["item_id"]).select("item_id", "pos", "token")
+    tokens = basic_token_rows(table(spark, sf_dir, "documents"), ["doc_id"], offsets=False)
     return get_ids(tokens, corpus_vocab(spark, sf_dir))
 
 
@@ -78,11 +103,11 @@ def vocab_insert(spark, sf_dir):
 
 
 def basic_tokens_lower(spark, sf_dir):
-    return basic_token_rows(table(spark, sf_dir, "documents"), ["doc_id"], config=LOWER).select("doc_id", "pos", "token")
+    return basic_token_rows(table(spark, sf_dir, "documents"), ["doc_id"], config=LOWER, offsets=False)
 
 
 def basic_tokens_cased(spark, sf_dir):
-    return basic_token_rows(table(spark, sf_dir, "documents"), ["doc_id"], config=CASED).select("doc_id", "pos", "token")
+    return basic_token_rows(table(spark, sf_dir, "documents"), ["doc_id"], config=CASED, offsets=False)
 
 
 def basic_token_offsets(spark, sf_dir):
@@ -99,28 +124,70 @@ def char_class_edges(spark, sf_dir):
 
 def special_token_split(spark, sf_dir):
     """Documents of which "the" is made a special token: it splits words, and keeps its case."""
-    return basic_token_rows(table(spark, sf_dir, "benchmark"), ["item_id"], config=LOWER.with_specials("the"))
+    return basic_token_rows(table(spark, sf_dir, "documents"), ["doc_id"], config=LOWER.with_specials("the"))
+
+
+def _code_point(column: str):
+    """The character of a code point of the first plane."""
+    return F.decode(F.unhex(F.lpad(F.hex(column), 4, "0")), "UTF-16BE")
+
+
+def fold_hangul(spark, sf_dir):
+    """Every syllable, which folds to two or three jamo."""
+    rows = spark.range(0xAC00, 0xD7A4).select("id", _code_point("id").alias("text"))
+    return basic_token_rows(rows, ["id"], config=LOWER)
+
+
+def fold_marks(spark, sf_dir):
+    """Combining marks before, within and after letters."""
+    rows = spark.range(0x300, 0x370).select("id", F.concat(_code_point("id"), F.lit("x "), F.lit("a"), _code_point("id"), F.lit("b É"), _code_point("id")).alias("text"))
+    return basic_token_rows(rows, ["id"], config=LOWER)
+
+
+def fold_latin(spark, sf_dir):
+    """Latin letters beyond ASCII, at the end of a word."""
+    rows = spark.range(0xC0, 0x250).select("id", F.concat(F.lit("Ab"), _code_point("id")).alias("text"))
+    return basic_token_rows(rows, ["id"], config=LOWER)
 
 
 def wordpiece_tokens(spark, sf_dir):
     return wordpiece_rows(table(spark, sf_dir, "documents"), ["doc_id"], corpus_vocab(spark, sf_dir))
 
 
-def wordpiece_offsets(spark, sf_dir):
-    rows = enc.wordpiece_tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), corpus_vocab(spark, sf_dir))
+def _piece_rows(spark, sf_dir, config):
+    rows = enc.wordpiece_tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), corpus_vocab(spark, sf_dir), config=config)
     at = rows.select("doc_id", F.posexplode("pieces").alias("i", "piece"), "offsets")
     return at.select("doc_id", "i", "piece", F.element_at("offsets", 2 * F.col("i") + 1).alias("start"), F.element_at("offsets", 2 * F.col("i") + 2).alias("end"))
 
 
+def wordpiece_offsets(spark, sf_dir):
+    return _piece_rows(spark, sf_dir, LOWER)
+
+
+def wordpiece_byte_offsets(spark, sf_dir):
+    return _piece_rows(spark, sf_dir, Config(True, False))
+
+
+def golden_encodings(spark, sf_dir):
+    """The golden texts: all arrays of their encodings, and their fixed-length form."""
+    out = None
+    for k, (text, vocab, config, most) in enumerate(((goldens.CHINESE, goldens.chinese_vocab(), LOWER, 48), (goldens.THAI, goldens.thai_vocab(), CASED, 64))):
+        rows = enc.encode_with_ids(_texts(spark, [text]), vocab, config=config, max_length=most)
+        fixed = enc.encode_fixed(rows.withColumnRenamed("input_ids", "ids"), vocab, most, config=config)
+        one = fixed.select(F.lit(k).alias("k"), _flat("ids"), *map(_flat, enc.ENCODING))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def unk_long_words(spark, sf_dir):
     return wordpiece_rows(_texts(spark, LONG_WORDS), ["k"], Vocab((*SPECIAL_TOKENS, "a", "##a", "é", "##é")), config=CASED)
 
 
 def ids_roundtrip(spark, sf_dir):
     v = corpus_vocab(spark, sf_dir)
-    rows = enc.wordpiece_tokenize(table(spark, sf_dir, "benchmark"), v).drop("offsets", "text")
+    rows = enc.wordpiece_tokenize(_documents(spark, sf_dir), v).drop("offsets", "text")
     back = enc.convert_ids_to_tokens(enc.convert_tokens_to_ids(rows, v, add_cls_sep=True), v)
-    return back.select("item_id", _flat("ids"), _flat("tokens"))
+    return back.select("doc_id", _flat("ids"), _flat("tokens"))
 
 
 def _documents(spark, sf_dir):
@@ -164,6 +231,10 @@ def encode_batch_max(spark, sf_dir):
     return _batched(spark, sf_dir, padding_to_max_length=True, max_length=64)
 
 
+def encode_batch_shifted(spark, sf_dir):
+    return _batched(spark, sf_dir, shifted_arguments=True, padding_to_max_length=True, max_length=64)
+
+
 def encode_conversations(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return enc.encode(rows, corpus_vocab(spark, sf_dir), max_length=MAX_LENGTH).select("conv_id", "turn", _flat("input_ids"))
@@ -196,7 +267,7 @@ def _runs(table_name: str, keys: str, text: str, lower: bool, pattern: str = _PI
 runs AS (SELECT {keys}, unnest(rs) AS r, generate_subscripts(rs, 1) AS i FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS rs FROM {table_name})),
 placed AS (SELECT *, sum(length(r)) OVER w - length(r) AS off, sum(strlen(r)) OVER w - strlen(r) AS byte_at FROM runs WINDOW w AS (PARTITION BY {keys} ORDER BY i)),
 toks AS (SELECT {keys}, (row_number() OVER (PARTITION BY {keys} ORDER BY i) - 1)::INT AS pos, off::INT AS start, (off + length(r))::INT AS "end",
-                byte_at::INT AS byte_start, (byte_at + strlen(r))::INT AS byte_end, {token} AS token
+                byte_at::INT AS byte_start, (byte_at + strlen(r))::INT AS byte_end, r AS said, {token} AS token
          FROM placed WHERE NOT regexp_matches(r, '^[ \\t\\r\\n]'))"""
 
 
@@ -257,6 +328,7 @@ pieces AS (SELECT id, token, starts_with(token, '##') AND length(token) > 2 AS l
         + _wordpiece_sql()
         + f""",
 found AS (SELECT {keys}, pos, idx AS piece_idx, piece, start + "from" AS start, CASE WHEN whole THEN "end" ELSE start + "to" END AS "end",
+                 byte_start + strlen(substring(said, 1, "from")) AS byte_from, CASE WHEN whole THEN byte_end ELSE byte_start + strlen(substring(said, 1, "to")) END AS byte_to,
                  coalesce(v.id, (SELECT id FROM vocab WHERE token = '[UNK]')) AS id
           FROM toks JOIN split USING (token) LEFT JOIN vocab v ON v.token = split.piece),
 ids AS (SELECT {keys}, list(id ORDER BY pos, piece_idx) AS ids, flatten(list([start, "end"] ORDER BY pos, piece_idx)) AS offsets FROM found GROUP BY {keys}),
@@ -277,6 +349,10 @@ def _filled(expr: str, n: int | str, fill: int = 0) -> str:
     return f"list_resize({expr}, {n}, {fill})"
 
 
+def _quoted(ints) -> str:
+    return "'" + " ".join(map(str, ints)) + "'"
+
+
 def oracle_sql() -> dict[str, str]:
     docs, bench, conv = _with_pieces("documents", "doc_id", "text"), _with_pieces("benchmark", "item_id", "text"), _with_pieces("conversations", "conv_id, turn", "text")
     pages = _with_pieces("pages", "page_id", "html")
@@ -284,15 +360,34 @@ def oracle_sql() -> dict[str, str]:
     vocab = "WITH " + _vocab_sql()
     m = MAX_LENGTH
     tokens_of = lambda lower: "WITH " + _runs("documents", "doc_id", "text", lower)
-    bench_tokens = "WITH " + _runs("benchmark", "item_id", "text", True) + "," + _vocab_sql()
+    doc_tokens = "WITH " + _runs("documents", "doc_id", "text", True) + "," + _vocab_sql()
+    lengths = ", lens AS (SELECT DISTINCT length(token) AS n FROM vocab)"
+    golden = " UNION ALL ".join(
+        f"SELECT {k} AS k, {', '.join(f'{_quoted(x)} AS {c}' for c, x in zip(('ids', *enc.ENCODING), (full, full, [0] * most, [1] * len(ids) + [0] * (most - len(ids)), at), strict=True))}"
+        for k, (ids, at, most) in enumerate(((goldens.CHINESE_IDS, goldens.CHINESE_OFFSETS, 48), (goldens.THAI_IDS, goldens.THAI_OFFSETS, 64)))
+        for full in [ids + [0] * (most - len(ids))]
+    )
     split_the = _PIECE.replace(r"\[MASK\]|", r"\[MASK\]|the|")
     mask = f"list_concat(list_resize(CAST([] AS INT[]), least(len(ids) + 2, {m}), 1), list_resize(CAST([] AS INT[]), greatest(0, {m} - len(ids) - 2), 0))"
     return {
         "vocab_from_corpus": vocab + " SELECT id, token FROM vocab",
         "vocab_size": vocab + " SELECT count(*) AS size FROM vocab",
         "special_ids": vocab + ", s AS (SELECT unnest(['[PAD]', '[CLS]', '[SEP]', '[UNK]', '[MASK]', '[NONE]']) AS token) SELECT token, coalesce(id, -1)::INT AS id FROM s LEFT JOIN vocab USING (token)",
-        "vocab_contains": bench_tokens + " SELECT item_id, pos, toks.token, v.id IS NOT NULL AS known FROM toks LEFT JOIN vocab v USING (token)",
-        "get_id_or_unk": bench_tokens + " SELECT item_id, pos, toks.token, coalesce(v.id, 3)::INT AS id FROM toks LEFT JOIN vocab v USING (token)",
+        "vocab_file": vocab + " SELECT id, token FROM vocab",
+        "vocab_saved": vocab + " SELECT id, token FROM vocab",
+        "vocab_prefixes": vocab + lengths + ", spots AS (SELECT item_id, text, unnest(range(length(text))) AS pos FROM benchmark) "
+        "SELECT item_id, pos::INT AS pos, v.token, v.id FROM spots CROSS JOIN lens JOIN vocab v ON v.token = substring(spots.text, (spots.pos + 1)::INT, lens.n::INT) WHERE pos + n <= length(text)",
+        "vocab_longest_prefix": vocab + lengths + ", cut AS (SELECT doc_id, substring(text, 1, n::INT) AS head FROM documents, lens WHERE n <= length(text)), "
+        "best AS (SELECT doc_id, max_by(head, length(head)) AS prefix FROM cut JOIN vocab ON token = head GROUP BY doc_id) "
+        "SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(prefix, '') END AS prefix FROM documents LEFT JOIN best USING (doc_id)",
+        "fold_hangul": "SELECT k::BIGINT AS id, 0 AS pos, 0 AS start, 1 AS \"end\", chr((4352 + (k - 44032) // 588)::INT) || chr((4449 + (k - 44032) % 588 // 28)::INT) || "
+        "CASE WHEN (k - 44032) % 28 > 0 THEN chr((4519 + (k - 44032) % 28)::INT) ELSE '' END AS token FROM range(44032, 55204) AS t(k)",
+        "fold_marks": "SELECT k::BIGINT AS id, pos, start, \"end\", strip_accents(lower(replace(said, '*', chr(k::INT)))) AS token "
+        "FROM range(768, 880) AS t(k), (VALUES (0, 0, 2, '*x'), (1, 3, 6, 'a*b'), (2, 7, 9, 'É*')) AS w(pos, start, \"end\", said)",
+        "fold_latin": "SELECT k::BIGINT AS id, 0 AS pos, 0 AS start, 3 AS \"end\", strip_accents(lower('Ab' || chr(k::INT))) AS token FROM range(192, 592) AS t(k)",
+        "golden_encodings": golden,
+        "vocab_contains": doc_tokens + " SELECT doc_id, pos, toks.token, v.id IS NOT NULL AS known FROM toks LEFT JOIN vocab v USING (token)",
+        "get_id_or_unk": doc_tokens + " SELECT doc_id, pos, toks.token, coalesce(v.id, 3)::INT AS id FROM toks LEFT JOIN vocab v USING (token)",
         "get_token_by_id": vocab + " SELECT doc_id, token FROM documents LEFT JOIN vocab ON id = doc_id",
         "vocab_insert": vocab + """ SELECT id, token FROM vocab WHERE id = (SELECT max(id) FROM vocab)
             UNION ALL SELECT ((SELECT max(id) FROM vocab) + row_number() OVER (ORDER BY o))::INT, t FROM (VALUES (1, 'the'), (2, 'a new one'), (3, '[NEW]')) AS n(o, t) WHERE t NOT IN (SELECT token FROM vocab)""",
@@ -305,17 +400,18 @@ def oracle_sql() -> dict[str, str]:
             (1, 0, 0, 1, 'a'), (1, 1, 2, 5, 'bc'), (2, 0, 0, 3, 'foo'), (2, 1, 3, 8, '[SEP]'), (2, 2, 8, 11, 'bar'), (3, 0, 0, 1, '['), (3, 1, 1, 4, 'sep'), (3, 2, 4, 5, ']'),
             (4, 0, 0, 3, 'ab'), (4, 1, 4, 5, 'c'), (5, 0, 0, 1, 'x'), (5, 1, 2, 3, 'y'), (6, 0, 0, 1, '中'), (6, 1, 1, 2, 'a'), (6, 2, 2, 3, '文'), (7, 0, 0, 1, 'a'), (7, 1, 1, 2, '！'), (7, 2, 2, 3, 'b'),
             (8, 0, 0, 3, 'a€b'), (9, 0, 0, 1, 'e'), (9, 1, 2, 3, 'e'), (10, 0, 0, 1, 'x'), (10, 1, 1, 2, '='), (10, 2, 2, 3, 'y'), (11, 0, 0, 3, 'ex')) AS t(k, pos, start, "end", token)""",
-        "special_token_split": "WITH RECURSIVE cut AS (SELECT item_id, unnest(string_split(text, 'the')) AS part, generate_subscripts(string_split(text, 'the'), 1) AS g FROM benchmark), "
-        "bits AS (SELECT item_id, g, part AS body, 0 AS sp FROM cut UNION ALL SELECT item_id, g, 'the', 1 FROM cut WHERE g > 1), "
-        f"rs AS (SELECT item_id, g, sp, unnest(CASE WHEN sp = 1 THEN ['the'] ELSE regexp_extract_all(body, '{_PIECE}') END) AS r, generate_subscripts(CASE WHEN sp = 1 THEN ['the'] ELSE regexp_extract_all(body, '{_PIECE}') END, 1) AS i FROM bits), "
-        "placed AS (SELECT *, sum(length(r)) OVER w - length(r) AS off FROM rs WINDOW w AS (PARTITION BY item_id ORDER BY g, 1 - sp, i ROWS UNBOUNDED PRECEDING)) "
-        "SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY off) - 1)::INT AS pos, off::INT AS start, (off + length(r))::INT AS \"end\", strip_accents(lower(r)) AS token "
+        "special_token_split": "WITH RECURSIVE cut AS (SELECT doc_id, unnest(string_split(text, 'the')) AS part, generate_subscripts(string_split(text, 'the'), 1) AS g FROM documents), "
+        "bits AS (SELECT doc_id, g, part AS body, 0 AS sp FROM cut UNION ALL SELECT doc_id, g, 'the', 1 FROM cut WHERE g > 1), "
+        f"rs AS (SELECT doc_id, g, sp, unnest(CASE WHEN sp = 1 THEN ['the'] ELSE regexp_extract_all(body, '{_PIECE}') END) AS r, generate_subscripts(CASE WHEN sp = 1 THEN ['the'] ELSE regexp_extract_all(body, '{_PIECE}') END, 1) AS i FROM bits), "
+        "placed AS (SELECT *, sum(length(r)) OVER w - length(r) AS off FROM rs WINDOW w AS (PARTITION BY doc_id ORDER BY g, 1 - sp, i ROWS UNBOUNDED PRECEDING)) "
+        "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY off) - 1)::INT AS pos, off::INT AS start, (off + length(r))::INT AS \"end\", strip_accents(lower(r)) AS token "
         "FROM placed WHERE NOT regexp_matches(r, '^[ \\t\\r\\n]')",
         "wordpiece_tokens": docs + " SELECT doc_id, pos, piece_idx, piece FROM found",
         "wordpiece_offsets": docs + ' SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, piece_idx) - 1)::INT AS i, piece, start::INT AS start, "end"::INT AS "end" FROM found',
+        "wordpiece_byte_offsets": docs + ' SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, piece_idx) - 1)::INT AS i, piece, byte_from::INT AS start, byte_to::INT AS "end" FROM found',
         "unk_long_words": f"""SELECT k, 0 AS pos, (i - 1)::INT AS piece_idx, CASE WHEN strlen(text) > 100 OR NOT regexp_matches(text, '^(a+|é+)$') THEN '[UNK]' WHEN i = 1 THEN text[1] ELSE '##' || text[1] END AS piece
             FROM (SELECT k, text, unnest(range(1, CASE WHEN strlen(text) > 100 OR NOT regexp_matches(text, '^(a+|é+)$') THEN 2 ELSE length(text) + 1 END)) AS i FROM {edge})""",
-        "ids_roundtrip": bench + f", b AS (SELECT item_id, list_concat([cls], ids, [sep]) AS x FROM coded, own) SELECT item_id, {_JOIN.format('x')} AS ids, {_JOIN.format('list_transform(x, lambda i: l[i + 1])')} AS tokens FROM b, (SELECT list(token ORDER BY id) AS l FROM vocab)",
+        "ids_roundtrip": docs + f", b AS (SELECT doc_id, list_concat([cls], ids, [sep]) AS x FROM coded, own) SELECT doc_id, {_JOIN.format('x')} AS ids, {_JOIN.format('list_transform(x, lambda i: l[i + 1])')} AS tokens FROM b, (SELECT list(token ORDER BY id) AS l FROM vocab)",
         "encode_fixed": docs + f" SELECT doc_id, {_JOIN.format(_filled(_cut(m), m))} AS input_ids FROM coded, own",
         "encode_with_ids": docs + f" SELECT doc_id, {_JOIN.format(_filled(_cut(m), m))} AS input_ids, {_JOIN.format(_filled('CAST([] AS INT[])', m))} AS token_type_ids, {_JOIN.format(mask)} AS attention_mask, {_JOIN.format(f'offsets[:{2 * (m - 2)}]')} AS offsets FROM coded, own",
         "encode_truncated": docs + f" SELECT doc_id, {_JOIN.format(_cut(16))} AS input_ids, {_JOIN.format('offsets[:28]')} AS offsets FROM coded, own",
@@ -323,6 +419,7 @@ def oracle_sql() -> dict[str, str]:
         "encode_nopad": docs + f" SELECT doc_id, {_JOIN.format('ids')} AS input_ids FROM coded",
         "encode_batch_longest": conv + f", l AS (SELECT conv_id, turn, {_cut(512)} AS x, max(len(x)) OVER (PARTITION BY conv_id) AS most FROM coded, own) SELECT conv_id, turn, {_JOIN.format(_filled('x', 'most'))} AS input_ids, {_JOIN.format('list_concat(list_transform(x, lambda i: 1), list_resize(CAST([] AS INT[]), most - len(x), 0))')} AS attention_mask FROM l",
         "encode_batch_max": conv + f", l AS (SELECT conv_id, turn, {_cut(64)} AS x FROM coded, own) SELECT conv_id, turn, {_JOIN.format(_filled('x', 64))} AS input_ids, {_JOIN.format('list_concat(list_transform(x, lambda i: 1), list_resize(CAST([] AS INT[]), 64 - len(x), 0))')} AS attention_mask FROM l",
+        "encode_batch_shifted": conv + f", l AS (SELECT conv_id, turn, {_cut(512)} AS x FROM coded, own) SELECT conv_id, turn, {_JOIN.format(_filled('x', 512) + '[:64]')} AS input_ids, {_JOIN.format('list_concat(list_transform(x, lambda i: 1), list_resize(CAST([] AS INT[]), 512 - len(x), 0))[:64]')} AS attention_mask FROM l",
         "encode_conversations": conv + f" SELECT conv_id, turn, {_JOIN.format(_cut(m))} AS input_ids FROM coded, own",
         "encode_pages": pages + f" SELECT page_id, {_JOIN.format(_cut(m))} AS input_ids FROM coded, own",
         "encode_benchmark": bench + f" SELECT item_id, {_JOIN.format(_cut(m))} AS input_ids FROM coded, own",
@@ -333,9 +430,9 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict:
     own = {"vocab_from_corpus": vocab_from_corpus_query}
     for f in (
-        vocab_size, special_ids, vocab_contains, get_id_or_unk, get_token_by_id, vocab_insert, basic_tokens_lower, basic_tokens_cased, basic_token_offsets,
-        basic_token_byte_offsets, char_class_edges, special_token_split, wordpiece_tokens, wordpiece_offsets, unk_long_words, ids_roundtrip, encode_fixed,
-        encode_with_ids, encode_truncated, encode_cut_by_padding, encode_nopad, encode_batch_longest, encode_batch_max, encode_conversations, encode_pages,
+        vocab_size, vocab_file, vocab_saved, vocab_prefixes, vocab_longest_prefix, fold_hangul, fold_marks, fold_latin, golden_encodings, special_ids, vocab_contains, get_id_or_unk, get_token_by_id, vocab_insert, basic_tokens_lower, basic_tokens_cased, basic_token_offsets,
+        basic_token_byte_offsets, char_class_edges, special_token_split, wordpiece_tokens, wordpiece_offsets, wordpiece_byte_offsets, unk_long_words, ids_roundtrip, encode_fixed,
+        encode_with_ids, encode_truncated, encode_cut_by_padding, encode_nopad, encode_batch_longest, encode_batch_max, encode_batch_shifted, encode_conversations, encode_pages,
         encode_benchmark, longest_encoding,
     ):
         own[f.__name__] = f

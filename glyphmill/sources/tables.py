@@ -10,6 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input for each core under which rows are dealt out again.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt to all cores where the input is so small that its files may not reach them
+    (a Parquet file of one row group is one task); larger inputs and streams are left as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SPREAD_BYTES * cores else df
+
+
 def until_nul(text: Column) -> Column:
     """Text as far as its first NUL."""
     return F.substring_index(text, "\0", 1)

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The five tokens every tokeniser knows.
 PAD, CLS, SEP, UNK, MASK = "[PAD]", "[CLS]", "[SEP]", "[UNK]", "[MASK]"
@@ -36,10 +37,15 @@ class Vocab:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, strip_cr: bool = False) -> Vocab:
-        """A vocabulary file from any store Spark reads. The order of lines is their meaning, so they
-        come to the driver; vocabularies have some ten thousands of lines."""
-        rows = spark.read.option("lineSep", "\n").text(path).collect()
-        return cls.from_text("\n".join(r.value for r in rows), strip_cr)
+        """A vocabulary file from any store Spark reads. The order of lines is their meaning, so a file is
+        read as one text, on one task, and comes to the driver; vocabularies have some ten thousands of
+        lines. The files of a folder follow each other by name."""
+        rows = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("name")).collect()
+        return cls.from_text("\n".join(r["value"] for r in sorted(rows, key=lambda r: r["name"])), strip_cr)
+
+    def dump(self, spark: SparkSession, path: str) -> None:
+        """The tokens as a folder of one text file, a line each."""
+        spark.createDataFrame([("\n".join(self.tokens),)], "value string").coalesce(1).write.text(path)
 
     def insert(self, tokens: str | Iterable[str]) -> Vocab:
         return Vocab((*self.tokens, *([tokens] if isinstance(tokens, str) else tokens)))

@@ -11,8 +11,10 @@ from glyphmill.functions.kernel import Config, Tokenizer
 from glyphmill.functions.register import register
 from glyphmill.operators import encode as E
 from glyphmill.operators.basic import basic_token_rows, basic_tokenize
-from glyphmill.operators.vocabulary import contains, get_ids, get_tokens, vocab_from_corpus
+from glyphmill.operators.vocabulary import contains, get_ids, get_tokens, longest_prefix, prefix_rows, vocab_from_corpus
 from glyphmill.operators.wordpiece import wordpiece_rows
+from glyphmill.plans import goldens as G
+from glyphmill.sources import tables
 from glyphmill.sources.vocab import Vocab
 from glyphmill.streaming.encode import encode_folder
 
@@ -65,6 +67,61 @@ def test_kernel_against_oracle(text, lower):
     assert Tokenizer(EDGE, Config(lower)).basic(text) == basic(text, lower)
 
 
+def test_token_strings_and_prefixes(spark):
+    """Tokens without places, and prefixes against every substring."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(30))) for _ in range(300)] + ["Éa, B-c ÀÖ", "x" * 5000, None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "k int, text string, pos string")
+    for lower in (True, False):
+        got = {}
+        for r in basic_token_rows(df, ["k"], config=Config(lower), offsets=False).collect():
+            got.setdefault(r.k, []).append((r.pos, r.token))
+        tk = Tokenizer(EDGE, Config(lower))
+        assert all(sorted(got.get(i, [])) == [(p, x[2]) for p, x in enumerate(tk.basic(t))] for i, t in enumerate(texts) if t is not None) and len(texts) - 1 not in got
+    found = {(r.k, r.pos, r.token, r.id) for r in prefix_rows(df, ["k"], EDGE).collect()}
+    assert found == {(i, p, w, k) for i, t in enumerate(texts) if t for p in range(len(t)) for k, w in enumerate(EDGE.tokens) if t.startswith(w, p)}
+    best = {r.k: r.prefix for r in longest_prefix(df.withColumn("best", F.lit(1)), EDGE).collect()}
+    assert best == {i: None if t is None else max((w for w in EDGE.tokens if t.startswith(w)), key=len, default="") for i, t in enumerate(texts)}
+
+
+def test_clashing_columns(spark):
+    """No name that a caller has is one that a plan uses inside."""
+    names = ("_token", "_id", "_longest", "longest", "token", "id", "c0", "b0", "v_by", "v_get", "value", "w", "i", "k0", "best", "tokens")
+    df = spark.createDataFrame([(1, "a b", 13, "a"), (1, "c", 99, "?")], "b int, text string, n int, t string").withColumns({x: F.lit(x) for x in names})
+    assert {r.found for r in get_ids(df, EDGE, "t", "found").collect()} == {13, 1} and {r.known for r in contains(df, EDGE, "t").collect()} == {True, False}
+    assert {r.token for r in get_tokens(df, EDGE, "n").collect()} == {"a", None}
+    rows = E.encode_batch(df, EDGE, ["b"]).collect()
+    assert {tuple(r.input_ids) for r in rows} == {(2, 13, 14, 3), (2, 15, 3, 0)} and all(r[x] == x for r in rows for x in names)
+    assert len(basic_token_rows(df, ["b", "tokens"]).collect()) == 3 and len(wordpiece_rows(df, ["b", "w", "i"], EDGE).collect()) == 3
+
+
+def test_truncation_reads_no_further(spark):
+    """Encodings cut at max_length are those of the whole text, cut."""
+    rnd = random.Random(6)
+    for config in (Config(), Config(True, False), Config(False)):
+        tk = Tokenizer(EDGE, config)
+        for _ in range(200):
+            text = "".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(60)))
+            most, cls = rnd.randrange(2, 12), rnd.random() < 0.5
+            pieces, offsets = tk.wordpiece(text)
+            ids = tk.token_ids(pieces, cls)
+            cut = ids if len(ids) <= most else [*ids[: most - 1], tk.vocab.sep_id if cls else ids[most - 1]]
+            assert tk.encode(text, cls, True, most) == cut
+            assert tk.encode_with_ids(text, cls, False, True, most)[3] == (offsets if len(ids) <= most else offsets[: 2 * (most - 2 * cls)])
+
+
+def test_large_vocabulary_and_close(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_BROADCAST_TOKENS", 5)
+    df = spark.createDataFrame([(1, "a")], "k int, text string")
+    with pytest.raises(ValueError):
+        E.encode(df, EDGE)
+    monkeypatch.undo()
+    rows = E.encode(df, EDGE)
+    assert rows.count() == 1 and E._OPEN
+    E.close()
+    assert not E._OPEN and rows.first().input_ids == [2, 13, 3]
+
+
 def test_column_against_kernel(spark):
     rnd = random.Random(4)
     texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(60))) for _ in range(400)] + ["word, " * 700]
@@ -100,9 +157,9 @@ def test_max_length_is_checked():
 
 @pytest.mark.parametrize("name", ["chinese", "thai"])
 def test_goldens(spark, name):
-    text, vocab, lower, most, ids = (fx.CHINESE, fx.chinese_vocab(), True, 48, fx.CHINESE_IDS) if name == "chinese" else (fx.THAI, fx.thai_vocab(), False, 64, fx.THAI_IDS)
-    offsets = [x for i in range(15) for x in (i, i + 1)] if name == "chinese" else fx.THAI_OFFSETS
-    v, df = Vocab(tuple(vocab)), spark.createDataFrame([(text,)], "text string")
+    text, vocab, lower, most, ids = (G.CHINESE, G.chinese_vocab(), True, 48, G.CHINESE_IDS) if name == "chinese" else (G.THAI, G.thai_vocab(), False, 64, G.THAI_IDS)
+    offsets = [x for i in range(15) for x in (i, i + 1)] if name == "chinese" else G.THAI_OFFSETS
+    v, df = vocab, spark.createDataFrame([(text,)], "text string")
     r = E.encode_with_ids(df, v, config=Config(lower), max_length=most).first()
     assert r.input_ids == ids + [0] * (most - len(ids)) and r.offsets == offsets
     assert r.token_type_ids == [0] * most and r.attention_mask == [1] * len(ids) + [0] * (most - len(ids))
@@ -180,7 +237,10 @@ def test_sql_functions_and_stream(spark, tmp_path):
     assert got == {1: [2, 13, 14, 3, 0, 0], 2: None}
 
 
-def test_tokens_do_not_shuffle(spark):
+def test_tokens_do_not_shuffle(spark, monkeypatch):
+    """But for inputs too small to reach all cores."""
+    assert "RoundRobinPartitioning" in basic_token_rows(spark.range(3).select(F.col("id").alias("k"), F.lit("a").alias("text")), ["k"])._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 0)
     df = spark.createDataFrame([(1, "a")], "k int, text string")
     plan = basic_token_rows(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
