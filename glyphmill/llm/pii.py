@@ -223,7 +223,7 @@ def _in_blocks(spans: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """(doc_id, tag, start, end, said, left2, left, right, whole, kind), each once: kind is that of the
     base span with the same bounds, null for candidates that touch none."""
-    found = _windows(rows).unionByName(_spelled(rows)).distinct()
+    found, _ = written(_windows(rows).unionByName(_spelled(rows)).distinct(), "pii-windows")
     spans = rows.where(F.size("base") > 0).select("doc_id", "tag", F.inline("base")).distinct()
     one = found.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "start", "end").distinct()
     b = _in_blocks(spans).select(*(F.col(c).alias(f"b_{c}") for c in ("doc_id", "tag", "block", "start", "end", "k")))
