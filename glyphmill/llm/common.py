@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
+__all__ = ["SPACES", "code_points", "discard", "named", "plain_text", "slices", "table", "tasks", "written"]
+
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -22,30 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and executors are one process, gets a folder made for it when
-    the setting is absent; a cluster without the setting is an error rather than a silent local path.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="glyphmill-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read again: lineage ends there, and an executor
-    that is lost costs only a reread. Returns the frame and its path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/glyphmill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def tasks(spark: SparkSession) -> int:
+    """Partitions for work that takes time out of proportion to its bytes: by bytes, adaptive execution
+    would merge it into a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
 def discard(spark: SparkSession, path: str) -> None:

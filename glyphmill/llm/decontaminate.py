@@ -8,12 +8,17 @@ overlapping bands of diagonals, each wide enough to hold any such drift, keep ba
 bound, and align the item with the band's stretch of text by a banded edit distance. Items too short
 for an edit are looked up by hash at the starts of words, and leak where they stand as whole words.
 
-Items are read in blocks of bounded size, each broadcast; documents never move.
+A q-gram that very many items have is left out of those that can do without it, and their bound is lower by
+as many: by the lemma nothing is lost, as the alignment decides, and a common phrase costs little.
+
+Items are read in blocks of bounded size, each broadcast, and a pass over the documents looks in several
+blocks; documents never move.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
-from .common import code_points, slices
+from .common import code_points, named, slices
 
 #: Characters of a q-gram.
 Q = 10
@@ -34,6 +41,11 @@ EDITS = 0.08
 BLOCK_CHARS = 1_000_000
 #: Items in a block on average; twice as many would not fit the 15 bits of a key.
 BLOCK_ITEMS = 1 << 14
+#: Blocks that one pass over the documents looks in.
+PASS_BLOCKS = 8
+#: Places in a block's items from which a q-gram is common, and the share of the bound that an item must
+#: keep without its common q-grams to do without them.
+COMMON, LEFT = 256, 0.5
 #: Code points of scripts written without blanks, whose words end anywhere.
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _R = 0x9E3779B97F4A7C15
@@ -116,11 +128,19 @@ def build_index(rows: list[tuple[object, str | None, int]], min_chars: int = 0)
     flat = np.concatenate(all_grams) if texts else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(texts)), [len(g) for g in all_grams])
     at = np.concatenate([np.arange(len(g)) for g in all_grams]) if texts else np.zeros(0, np.int64)
+    need = lengths - Q + 1 - edits * Q
+    _, which, places = np.unique(flat, return_inverse=True, return_counts=True)
+    common = places[which] > COMMON
+    fewer = np.bincount(item[common], minlength=len(texts))
+    spared = (need - fewer >= LEFT * need) & (need - fewer >= 1)
+    kept = ~(common & spared[item])
+    flat, item, at = flat[kept], item[kept], at[kept]
+    need = np.where(spared, need - fewer, need)
     order = np.argsort(flat, kind="stable")
     grams, first = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << _BITS, dtype=bool)
     seen[_leading(grams)] = True
-    return Index(ids, texts, times, edits, lengths - Q + 1 - edits * Q, grams, np.append(first, len(flat)), item[order], at[order], seen, short, short_hashes)
+    return Index(ids, texts, times, edits, need, grams, np.append(first, len(flat)), item[order], at[order], seen, short, short_hashes)
 
 
 def banded_alignment(item: str, region: str, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -236,7 +256,7 @@ def _verified(item: str, text: str, low: int, high: int, edits: int) -> tuple[in
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None, int]]]:
     """The distinct items (id, text, rows that have it) in blocks of about BLOCK_CHARS characters and
     BLOCK_ITEMS items at most, one at a time on the driver."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).groupBy("id", "text").agg(F.count(F.lit(1)).alias("times"))
+    items = benchmark.select(named(id_col).alias("id"), named(text_col).alias("text")).where(F.length("text") > 0).groupBy("id", "text").agg(F.count(F.lit(1)).alias("times"))
     chars, rows = items.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
     n = int(max(-(-(chars or 0) // BLOCK_CHARS), -(-rows // BLOCK_ITEMS)))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
@@ -244,50 +264,64 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         yield [(r["id"], r["text"], r["times"]) for r in items.where(block == k).sort("id", "text").collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 0) -> DataFrame:
-    """One row per document and item that leaks into it: doc_id, item_id, edits, similarity, start,
-    end (characters of the lower-cased text with single blanks), of the item's best match there.
+def _passes(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int) -> Iterator[tuple[list, bool]]:
+    """The broadcast indexes of each pass over the documents, and whether any of their items repeats."""
+    found = filter(None, blocks(benchmark, id_col, text_col))
+    share = ship(benchmark.sparkSession).sparkContext.broadcast
+    while some := list(itertools.islice(found, PASS_BLOCKS)):
+        yield [share(build_index(block, min_chars)) for block in some], any(x[2] > 1 for block in some for x in block)
 
-    Null and empty texts leak nothing. Items too short for an edit (under 20 characters) leak where they
-    stand unchanged as whole words; those under min_chars characters are not searched. Items that
-    repeat are each reported, repeated documents too. Ties between matches go to the earlier. A
-    null document or item id is reported as null. Empty tables give an empty result.
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 0) -> DataFrame:
+    """One row per document and item that leaks into it: doc_id, item_id (of the benchmark's type), edits,
+    similarity, start, end (characters of the lower-cased text with single blanks), of the item's best
+    match there.
+
+    Null and empty texts leak nothing; texts of any length are read whole. Items too short for an edit
+    (under 20 characters) leak where they stand unchanged as whole words; those under min_chars characters
+    are not searched. Items that repeat are each reported, repeated documents too. Ties between matches go
+    to the earlier. A null document or item id is reported as null. Other columns are ignored, whatever
+    their names. Empty tables give an empty result.
     """
-    spark = ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, edits long, similarity double, start long, end long"
-    columns = ["doc_id", "item_id", "edits", "similarity", "start", "end"]
+    spark = docs.sparkSession
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    id_type = benchmark.schema[item_col].dataType
+    schema = T.StructType(
+        [T.StructField("doc_id", T.LongType()), T.StructField("item_id", id_type), T.StructField("edits", T.LongType()), T.StructField("similarity", T.DoubleType()),
+         T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
+    )
+    kinds = [to_arrow_type(f.dataType) for f in schema] + [pa.int64()]
     result = None
-    for block in filter(None, blocks(benchmark, item_col, item_text)):
-        shared = spark.sparkContext.broadcast(build_index(block, min_chars))
+    for indexes, repeats in _passes(benchmark, item_col, item_text, min_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 1_000_000, _ROWS):
-                    ids = part.column("doc_id").to_pylist()
-                    out = [(ids[r], index.item_ids[i], e, 1 - e / len(index.items[i]), a, b, index.times[i]) for r, i, e, a, b in leaks_in(part.column("text").to_pylist(), index)]
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], [*columns, "times"])
-
-        one = rows.mapInArrow(run, schema + ", times long")
-        if max(x[2] for x in block) > 1:  # rows of an item that repeats
-            one = one.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
-        one = one.select(columns)
+                    ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+                    for shared in indexes:
+                        index = shared.value
+                        out = [(ids[r], index.item_ids[i], e, 1 - e / len(index.items[i]), a, b, index.times[i]) for r, i, e, a, b in leaks_in(texts, index)]
+                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], [*schema.names, "times"])
+
+        one = rows.mapInArrow(run, T.StructType([*schema.fields, T.StructField("times", T.LongType())]))
+        if repeats:  # rows of an item that repeats
+            one = one.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+        one = one.select(*schema.names)
         result = one if result is None else result.unionByName(one)
     return result if result is not None else spark.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 0) -> DataFrame:
-    """docs without the documents that any item of min_chars characters leaks into, filtered in place."""
-    spark = ship(docs.sparkSession)
-    for block in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(build_index(block, min_chars))
+    """docs without the documents that any item of min_chars characters leaks into, as find_leaks() finds
+    them. Rows are filtered where they are, with all their columns: those with null or empty texts stay,
+    repeated rows share their fate, an empty benchmark drops none."""
+    for indexes, _ in _passes(benchmark, item_col, item_text, min_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, text_col, 1_000_000, _ROWS):
-                    leaked = {x[0] for x in leaks_in(part.column(text_col).to_pylist(), shared.value)}
+                    texts = part.column(text_col).to_pylist()
+                    leaked = {x[0] for shared in indexes for x in leaks_in(texts, shared.value)}
                     yield part.filter(pa.array([i not in leaked for i in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
