@@ -17,7 +17,9 @@ the elements before that bound plus one. What is built on this:
 4. What stays is joined in full: elements ordered by spread, then rarity; paths cut at the bound; for
    each element the paths from there on form a tree, which is searched with every member, partial
    overlaps being shared by all that continue a path, and subtrees dropped where the lengths that
-   remain cannot reach the overlap. Large trees are cut into pairs of blocks.
+   remain cannot reach the overlap. Partners differ little in size, so an element has a forest for each
+   class of sizes, which holds the sets of that class and, to be found only, those of the next. Large
+   forests are cut into pairs of blocks.
 
 Every link between documents of different components is measured on the whole sets, so the components
 are those of the full join.
@@ -25,6 +27,7 @@ are those of the full join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import discard, plain_text, slices, written
+from .common import discard, named, plain_text, slices, tasks, written
 from .components import components
 
 #: Words of a shingle, and the similarity in per cent.
@@ -246,11 +249,12 @@ class _Tree:
             node = child
 
 
-def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int = PERCENT, blocks: tuple | None = None) -> set[tuple[int, int]]:
+def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int = PERCENT, blocks: tuple | None = None, upper: list[bool] | None = None) -> set[tuple[int, int]]:
     """Candidate pairs (positions in docs) of different components among paths that begin at one shared
     element. docs: (id, component, size, elements after the shared one in the whole set, path after it).
 
-    With blocks, (block of each document, i, j), only pairs between block i and block j.
+    With blocks, (block of each document, i, j), only pairs between block i and block j; with upper, no
+    pairs of two documents that are marked in it, which are larger than all others.
     """
     block, i, j = blocks or ([0] * len(docs), 0, 0)
     sides: dict[int, dict[int, _Tree]] = {i: {}, j: {}}  # the trees of each block by size
@@ -259,7 +263,7 @@ def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int =
             sides[block[k]].setdefault(size, _Tree(comp)).add(docs, k)
     found = set()
     for k, (_, comp, size, left, path) in enumerate(docs):
-        if block[k] not in sides:
+        if block[k] not in sides or (upper and upper[k]):
             continue
         place = {e: at for at, e in enumerate(path)}
         for other_size, tree in sides[j if block[k] == i else i].items():
@@ -297,9 +301,9 @@ def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int =
 def _tree_task(percent: int):
     def run(key, part):
         rows = [(r["doc_id"], r["comp"], r["n"], r["n"] - r["at"] - 1, r["tail"]) for r in part.to_pylist()]
-        i, j, n_blocks = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        i, j, n_blocks = (x.as_py() for x in key[2:])
         blocks = ([r % n_blocks for r in part.column("salt").to_pylist()], i, j) if n_blocks > 1 else None
-        pairs = [(min(rows[a][0], rows[b][0]), max(rows[a][0], rows[b][0])) for a, b in tree_pairs(rows, percent, blocks)]
+        pairs = [(min(rows[a][0], rows[b][0]), max(rows[a][0], rows[b][0])) for a, b in tree_pairs(rows, percent, blocks, part.column("upper").to_pylist())]
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
@@ -307,19 +311,27 @@ def _tree_task(percent: int):
 
 def tree_join(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs (a, b) of rows (doc_id, comp, n, path), path being the whole set."""
+    spark = rows.sparkSession
     each = rows.select("doc_id", F.explode("path").alias("e"), "comp")
     spread = each.groupBy("e").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") < F.max("comp")).alias("mixed"))
     ordered = each.select("doc_id", "e").join(spread, "e").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("mixed", "df", "e"))).alias("o"))
     bound = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    paths = rows.select("doc_id", "comp", "n").join(ordered, "doc_id").select("doc_id", "comp", "n", F.slice("o", F.lit(1), bound).alias("o"))
-    at = paths.select("doc_id", "comp", "n", F.posexplode("o").alias("at", "x"), F.transform("o", lambda s: s["e"]).alias("es")).where("x.mixed")
+    # partners are of one class or neighbours: a class is a little wider than the ratio of two partners
+    size_class = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
+    paths, _ = written(rows.select("doc_id", "comp", "n").join(ordered, "doc_id").select("doc_id", "comp", "n", size_class.alias("c"), F.slice("o", F.lit(1), bound).alias("o")), "paths")
+    at = paths.select("doc_id", "comp", "n", "c", F.posexplode("o").alias("at", "x"), F.transform("o", lambda s: s["e"]).alias("es")).where("x.mixed")
     tails = at.select(
         "doc_id", "comp", "n", "at", F.col("x.e").alias("e"), F.slice("es", F.col("at") + 2, F.size("es")).alias("tail"),
-        F.ceil(F.col("x.df") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int").alias("salt"),
-    )
+        F.explode(F.array(F.struct(F.col("c").alias("g"), F.lit(False).alias("upper")), F.struct((F.col("c") - 1).alias("g"), F.lit(True).alias("upper")))).alias("role"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int").alias("salt"),
+    ).select("*", "role.g", "role.upper").drop("role")
+    sizes = tails.groupBy("e", "g").agg(F.count(F.lit(1)).alias("size"), (~F.min("upper")).alias("searched")).where("size > 1 and searched")
+    sizes, _ = written(sizes.select("e", "g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "forests")
     own = F.col("salt") % F.col("blocks")
-    dealt = tails.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")})
-    return dealt.groupBy("e", "i", "j", "blocks").applyInArrow(_tree_task(percent), "a long, b long").distinct()
+    dealt = tails.join(sizes, ["e", "g"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")})
+    # trees take time, not bytes, so their tasks are not to be merged by bytes
+    keys = ["e", "g", "i", "j", "blocks"]
+    return dealt.drop("other").repartition(tasks(spark), *keys).groupBy(*keys).applyInArrow(_tree_task(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -332,7 +344,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts are read whole; other columns are ignored. An empty table gives an empty result.
     """
     spark = ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
     shown, _ = written(texts.mapInArrow(_shown(words, percent), "doc_id long, n int, need int, path array<bigint>"), "shown")
     some = shown.where("n > 0 and doc_id is not null")
     alive, _ = written(_spread_out(some, "doc_id"), "alive")
@@ -346,7 +358,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # families around the member whose elements are the most common: the text that the others vary
     keys = reps.join(alive, "doc_id").select("doc_id", "weight", F.posexplode("least").alias("seed", "v"))
     first = F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))
-    lead = keys.groupBy("seed", "v").agg(first.alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("seed", "v", (-F.col("top.id")).alias("a"))
+    lead, _ = written(keys.groupBy("seed", "v").agg(first.alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("seed", "v", (-F.col("top.id")).alias("a")), "leads")
     stars = keys.join(lead, ["seed", "v"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links, _ = written(linked(stars, node, percent), "links")
     labels = components(links)
@@ -377,6 +389,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those linked, directly or not, with a document of smaller id; all columns stay."""
-    gone = jaccard_components(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")
+    """docs without those linked, directly or not, with a document of smaller id; all columns stay,
+    whatever their names. Rows without an id or a text stay, and so do repeats of a row that stays."""
+    gone = jaccard_components(docs, id_col, text_col).where("component_id < doc_id").select("doc_id").distinct()
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # no column can clash with doc_id
+    id_ = F.col(plain[docs.columns.index(id_col)]).cast("long")
+    return docs.toDF(*plain).join(gone, id_ == F.col("doc_id"), "left_anti").toDF(*docs.columns)

@@ -117,6 +117,30 @@ def test_decontaminate_in_blocks(spark, frame, rng, monkeypatch):
     assert decontaminate.drop_leaks(frame([t for _, t in items] + ["a clean one"]), bench).count() == 1
 
 
+def test_decontaminate_common_grams(spark, frame, rng, monkeypatch):
+    """Items that share phrases lose nothing when common q-grams are left out, in one pass or several; ids of any type."""
+    stem = words(rng, 8)
+    items = [(f"i{k}", f"{stem} {words(rng, 6)} {stem}" if k % 2 else f"{words(rng, 12)} {stem}") for k in range(24)] + [("same", stem), (None, words(rng, 9))]
+    docs = [f"{words(rng, 5)} {edited(rng, t, rng.randrange(8))} {words(rng, 9)}" for _, t in items for _ in range(2)] + [stem, words(rng, 3000), None]
+    want = {}
+    for d, text in enumerate(docs[:-2]):
+        for i, it in items:
+            n = decontaminate.normalised(it)
+            if (e := distance_within(n, decontaminate.normalised(text))) <= min(int(len(n) * decontaminate.EDITS), (len(n) - decontaminate.Q) // decontaminate.Q):
+                want[d, i] = e
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for common, left, chars, per_pass in ((256, 0.5, 10**6, 8), (2, 0.0, 10**6, 8), (1, 0.2, 400, 2)):
+        for k, v in (("COMMON", common), ("LEFT", left), ("BLOCK_CHARS", chars), ("PASS_BLOCKS", per_pass)):
+            monkeypatch.setattr(decontaminate, k, v)
+        clash = frame(docs).withColumns({c: F.lit("x") for c in ("item_id", "times", "edits", "start", "time")})
+        got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(clash, bench).collect()}
+        assert {k: v for k, v in got.items() if k[0] < len(docs) - 2} == want and len(want) > 24
+        kept = decontaminate.drop_leaks(clash, bench)
+        assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in got}
+    twice = frame([docs[0], docs[0]], [None, None])
+    assert [r.doc_id for r in decontaminate.find_leaks(twice, bench).where("item_id = 'i0'").collect()] in ([None, None], [])
+
+
 def test_decontaminate_short_items(spark, frame, rng):
     """Items of any length are found; those too short for an edit as whole words."""
     items = [(0, "Who wrote Pride and Prejudice?"), (1, "Who was first?"), (2, "cat"), (3, "首都是北京"), (4, "to be"), (5, "who was first?"), (6, " ")]
@@ -181,7 +205,7 @@ def families(rng):
     return docs
 
 
-@pytest.mark.parametrize("seed,seeds,block", [(1, 4, 2048), (2, 1, 8)])
+@pytest.mark.parametrize("seed,seeds,block", [(1, 4, 2048), (2, 1, 8), (3, 0, 16)])
 def test_ngram_join(spark, frame, monkeypatch, seed, seeds, block):
     monkeypatch.setattr(ngram_join, "SEEDS", seeds)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -198,6 +222,13 @@ def test_ngram_join_of_odd_rows(spark, frame):
     rows = ngram_join.jaccard_components(frame([text, text, text, "z y x w", text], [4, 4, None, 4, 9])).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in rows) == [(-1, 5, -1), (4, 1, 4), (4, 5, 4), (4, 5, 4), (9, 5, 4)]
     assert ngram_join.jaccard_components(frame([])).count() == 0
+    rng = random.Random(8)
+    long = words(rng, 40_000, 10**6)
+    clash = frame([long, long + " x", None, "", long], [7, 8, 9, 10, 7]).withColumns({c: F.lit("x") for c in ("n", "path", "comp", "_id", "label", "node", "need", "c0")})
+    rows = ngram_join.jaccard_components(clash).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(7, 7), (7, 7), (8, 7), (9, 9), (10, 10)] and max(r.n_shingles for r in rows) > 39_000
+    kept = ngram_join.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [7, 7, 9, 10]
 
 
 def test_tree_pairs_cover_all_links(rng):
