@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,14 +25,22 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
-from .common import plain_text, slices, written
+from .common import named, plain_text, slices, tasks, written
 
 #: Characters of a chunk, and of the overlap that follows it.
 CHUNK, OVERLAP = 32_768, 2_048
-#: Characters behind a boundary that the pattern may look at to set it; cut chunks trust none nearer their end.
+#: More characters than a text can have.
+WHOLE = 1 << 30
+#: Characters behind a boundary that the pattern may look at to set it; cut chunks trust none nearer
+#: their end. A pattern that looks further, as one with a repeat behind a look-ahead or with alternatives
+#: that need what follows a run (``\\s*[\\r\\n]+``), is not to be cut by chunks: see bpe_encode().
 LOOKAHEAD = 16
+#: Patterns that may be cut: the given one looks ahead by a character (``\\s+(?!\\S)``), and a piece that
+#: reaches the end of a cut chunk is never trusted.
+_FAR = re.compile(r"\\s[*+]\[|\\s[*+]\\[rn]|\(\?[=!][^)]*[*+{]")
 #: Cached pieces a Python worker keeps, and the longest of them.
 CACHE_PIECES, CACHE_CHARS = 60_000, 24
 #: Bytes from which a piece is merged with a heap.
@@ -147,17 +157,22 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_BUILT: dict[int, Encoder] = {}
+_BUILT: dict[str, Encoder] = {}
+
+
+def _shared(spark: SparkSession, ranks: list[tuple[bytes, int]], pattern: str):
+    """A broadcast rank table and pattern, under a name of its own: a worker outlives broadcasts, and
+    another object may come to have the identity that one had."""
+    return ship(spark).sparkContext.broadcast((uuid.uuid4().hex, ranks, pattern))
 
 
 def _encoder(shared) -> Encoder:
     """The worker's encoder of a broadcast rank table; made once a worker."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _BUILT:
+    name, ranks, pattern = shared.value
+    if name not in _BUILT:
         _BUILT.clear()
-        ranks, pattern = shared.value
-        _BUILT[key] = Encoder(ranks, pattern)
-    return _BUILT[key]
+        _BUILT[name] = Encoder(ranks, pattern)
+    return _BUILT[name]
 
 
 def _whole(shared):
@@ -248,14 +263,17 @@ def bpe_encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
 
     Null text counts as empty and has no ids. Special tokens have no meaning: their strings are
     ordinary text. Rows that repeat an id stay apart; long texts that share an id, or have none, are
-    encoded as one chunk each. Other columns are ignored. An empty table gives an empty result.
+    encoded as one chunk each, and so are all texts where the pattern looks ahead further than chunks
+    can see. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
+    if _FAR.search(pattern):
+        chunk = WHOLE
     if chunk <= OVERLAP:
         raise ValueError(f"chunk must be more than {OVERLAP}")
-    spark = ship(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((ranks, pattern))
+    spark = docs.sparkSession
+    shared = _shared(spark, ranks, pattern)
     encoded = "doc_id long, n_tokens long, ids binary"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
     long_rows = rows.where(F.length("text") > chunk + OVERLAP)
     result = rows.where(F.length("text") <= chunk + OVERLAP).mapInArrow(_whole(shared), encoded)
     ids = long_rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -268,7 +286,7 @@ def bpe_encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
     cut = long_rows.select("doc_id", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("k")).select(
         "doc_id", "k", (F.col("k") == F.col("last")).alias("is_last"), F.expr(f"substring(text, k * {chunk} + 1, {chunk + OVERLAP})").alias("text")
     )
-    marked = cut.repartition("doc_id", "k").mapInArrow(_chunks(shared, chunk), "doc_id long, k int, is_last boolean, ids binary, head binary, tail binary")
+    marked = cut.repartition(tasks(spark), "doc_id", "k").mapInArrow(_chunks(shared, chunk), "doc_id long, k int, is_last boolean, ids binary, head binary, tail binary")
     stitched, _ = written(marked.repartition("doc_id").sortWithinPartitions("doc_id", "k").mapInArrow(_stitched, encoded), "bpe")
     unsynced = stitched.where("ids is null").select(F.col("doc_id").alias("_id"))
     if not unsynced.isEmpty():
@@ -277,9 +295,12 @@ def bpe_encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
 
 
 def bpe_decode(encoded: DataFrame, ranks: list[tuple[bytes, int]], ids_col: str = "ids") -> DataFrame:
-    """encoded with a column decoded: the bytes of its ids, null for null ids. An id without a token is
-    an error."""
-    shared = ship(encoded.sparkSession).sparkContext.broadcast((ranks, "."))
+    """encoded with a column decoded: the bytes of its ids, null for null ids. A column of the input
+    named decoded is replaced; an id without a token is an error. Repeated rows repeat their result; an
+    empty table gives an empty result."""
+    shared = _shared(encoded.sparkSession, ranks, ".")
+    encoded = encoded.drop("decoded") if ids_col != "decoded" else encoded.withColumnRenamed("decoded", "ids")
+    ids_col = ids_col if ids_col != "decoded" else "ids"
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +310,9 @@ def bpe_decode(encoded: DataFrame, ranks: list[tuple[bytes, int]], ids_col: str
                 out = [None if x is None else enc.decode(np.frombuffer(x, "<u4").tolist()) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, encoded.drop("decoded").schema.add("decoded", "binary"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded, null where those are; a row for each row."""
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
