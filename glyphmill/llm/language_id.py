@@ -4,7 +4,8 @@ Every language has a codeword of bits. For each bit a binary classifier over has
 (one to three letters, word ends included) predicts its sign; decoding adds, over the bits, the
 logistic loss of the prediction against the codeword's bit, weighted by what the bit's classifier is
 worth on its training rows, and takes the codeword of least loss. The score is the softmax of the
-negative losses. Where two codewords are about as near, the prediction is flagged ambiguous.
+negative losses. Where two codewords are about as near, as in texts of two languages or of a letter or
+two, the prediction is flagged ambiguous.
 
 The classifiers are fitted on a bounded sample (TRAIN_ROWS in all, an equal part of each language,
 chosen by hash of the id) of the rows that training may see; n-grams are counted over whole texts.
@@ -33,8 +34,8 @@ TRAIN_ROWS = 1000
 WINDOWS = (32, 80)
 #: Codewords for up to so many languages are exhaustive; beyond, the best of random codes.
 EXHAUSTIVE = 6
-#: Scores under this are ambiguous.
-AMBIGUOUS = 0.4
+#: Scores under this are ambiguous: of two languages, the second is then at least 0.8 times as likely.
+AMBIGUOUS = 0.55
 UNKNOWN = "und"
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
@@ -191,8 +192,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per input row: doc_id, held_out, lang_pred, score, ambiguous.
 
     Null, empty and letterless texts are ``und`` with score 0. Texts of any length are read whole.
-    Ties between codewords go to the language first in order. Repeated rows repeat their result; other
-    columns are ignored. An empty table gives an empty result.
+    Ties between codewords go to the language first in order, and are ambiguous. Repeated rows repeat their
+    result; other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
@@ -212,8 +213,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that have no language: letterless ones and ambiguous ones. Rows are
-    filtered where they are; nothing is shuffled."""
+    """docs without the rows that have no language: letterless ones (null, empty and blank texts among
+    them) and ambiguous ones. Rows are filtered where they are, whole, with all their columns; nothing is
+    shuffled. Repeated rows share their fate; an empty table stays empty."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 

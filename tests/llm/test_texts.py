@@ -140,6 +140,41 @@ def test_language(spark, rng):
     assert language_id.codewords(9).shape[0] == 9 and len({tuple(c) for c in language_id.codewords(9)}) == 9
 
 
+def test_language_decoder(rng):
+    """Loss-weighted decoding against loops over codewords and bits; ties, and texts of two languages, are ambiguous."""
+    gen = np.random.default_rng(3)
+    for n in (2, 4, 9):
+        codes = language_id.codewords(n)
+        model = language_id.Model(tuple(map(str, range(n))), codes, np.zeros((language_id.BUCKETS, codes.shape[1])), np.zeros(codes.shape[1]), gen.uniform(0.1, 2, codes.shape[1]))
+        margins = gen.normal(size=(20, codes.shape[1])) * 3
+        best, score = language_id.decode(model, margins)
+        for row, i, s in zip(margins, best, score, strict=True):
+            loss = [sum(w * math.log1p(math.exp(-m * c)) for m, c, w in zip(row, code, model.worth, strict=True)) / len(row) for code in codes]
+            assert i == loss.index(min(loss)) and s == pytest.approx(1 / sum(math.exp(2 * (min(loss) - x)) for x in loss))
+    flat = language_id.Model(("p", "q"), language_id.codewords(2), np.zeros((language_id.BUCKETS, 1)), np.zeros(1), np.ones(1))
+    assert language_id.predict(flat, ["any"])[0] == ["p"] and language_id.predict(flat, ["any"])[1][0] == 0.5 < language_id.AMBIGUOUS
+
+
+def test_language_of_odd_tables(spark, rng):
+    """Repeated rows, clashing columns, ambiguous texts."""
+    sounds = {"aa": ["ka", "to", "mi", "ru"], "bb": ["schl", "ung", "eit", "ver"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(lang, 20), lang) for i, lang in enumerate(rng.choice(list(sounds)) for _ in range(300))]
+    mixed = [f"{text('aa', 30)} {text('bb', 30)}" for _ in range(40)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, None, "aa"), *((1000 + i, t, None) for i, t in enumerate(mixed))], "doc_id long, text string, lang string")
+    clash = docs.withColumns({c: F.lit("x") for c in ("score", "lang_pred", "held_out", "ambiguous", "id", "n", "at")})
+    model = language_id.train(clash)
+    got = collections.Counter(tuple(r) for r in language_id.identify(clash, model).collect())
+    assert sum(got.values()) == 342 and got[next(r for r in got if r[0] == 0)] == 2
+    assert not any(r[4] for r in got if r[0] is not None and r[0] < 300)
+    doubt = [r for r in got if r[0] is not None and r[0] >= 1000]
+    assert all(r[4] == (r[3] < language_id.AMBIGUOUS) for r in got) and min(r[3] for r in doubt) < min(r[3] for r in got if r[0] is not None and r[0] < 300)
+    kept = language_id.keep_identified(clash, model)
+    assert kept.columns == clash.columns and kept.where("doc_id < 300").count() == 301
+    with_doubt = language_id.keep_identified(docs, language_id.Model(model.languages, model.codes, model.weights * 0, model.bias * 0, model.worth))
+    assert with_doubt.count() == 0
+
+
 # ---------------------------------------------------------------------------------------------- BPE
 
 
@@ -160,12 +195,29 @@ def test_bpe(spark, frame, rng):
         want.append((-1 if i is None else i, len(e), hashlib.sha256(struct.pack(f"<{len(e)}I", *e)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.bpe_encode(frame([]), ranks, pattern).count() == 0
+    clash = frame(texts[:3]).withColumns({c: F.lit("x") for c in ("k", "n", "ids", "decoded", "is_last", "n_tokens", "_id")})
+    assert sorted(r.n_tokens for r in bpe.bpe_encode(clash, ranks, pattern).collect()) == sorted(len(own.encode_ordinary(t)) for t in texts[:3])
+    again = bpe.bpe_decode(bpe.bpe_encode(clash, ranks, pattern).withColumn("decoded", F.lit(1)), ranks)
+    assert again.columns == ["doc_id", "n_tokens", "ids", "decoded"] and {bytes(r.decoded).decode() for r in again.collect()} == set(texts[:3])
     enc = bpe.Encoder(ranks, pattern)
     enc.merge = enc.merged
     for t in ("a b c " * 20 + "x" * 300 + " " * 200, *(x[:400] for x in texts if x)):
         assert enc.encode(t) == own.encode_ordinary(t)
 
 
+def test_bpe_patterns_that_look_far(spark, frame):
+    """A pattern that looks ahead without bound is not cut by chunks."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path, _ = tokenizer_file()
+    ranks = bpe.read_ranks(spark, path)
+    pattern = r"[^\s]+|\s*[\r\n]+|\s+(?!\S)|\s+"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
+    text = ("a" + " " * 40 + "\n" + " " * 30 + "b") * 300
+    rows = bpe.bpe_digests(bpe.bpe_decode(bpe.bpe_encode(frame([text]), ranks, pattern, chunk=2100), ranks)).collect()
+    want = own.encode_ordinary(text)
+    assert rows[0].n_tokens == len(want) and rows[0].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+
+
 # --------------------------------------------------------------------------------------------- HTML
 
 
