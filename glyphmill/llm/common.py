@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-__all__ = ["SPACES", "code_points", "discard", "named", "plain_text", "slices", "table", "tasks", "written"]
+__all__ = ["SPACES", "Scratch", "code_points", "discard", "named", "plain_text", "slices", "table", "tasks", "written"]
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -28,10 +28,25 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a table made by written() that no later plan reads."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove tables made by written() that no later plan reads."""
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+class Scratch(list):
+    """Paths of the tables that an operator writes on its way; clear_from() removes those that its result
+    does not read."""
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        table_, path = written(df, tag)
+        self.append(path)
+        return table_
+
+    def clear_from(self, spark: SparkSession) -> None:
+        discard(spark, *self)
+        self.clear()
 
 
 def named(column: str):

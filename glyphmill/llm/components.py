@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both, _ = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both, edge_path = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels, path = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -30,4 +30,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(spark, path)
         labels, path = moved.select("node", "label"), new_path
         if not changed:
+            discard(spark, edge_path)
             return labels

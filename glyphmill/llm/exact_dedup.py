@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, named, plain_text, written
+from .common import SPACES, Scratch, named, plain_text, written
 
 #: Characters in the successive digits; the last width repeats.
 WIDTHS = (64, 256, 1024, 4096, 16_384, 65_536)
@@ -55,14 +55,14 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _split(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+def _split(rows: DataFrame, keys: list[str], width: int, scratch: Scratch) -> DataFrame:
     """The rows (uid, tag, digit, keys) of groups of two or more, each once: uid, tag, the group's new
     name gid and gtag, its size n, and whether it is open, as its members may go on.
 
     A node of the tree is named by its smallest id and its smallest tag, as an id can repeat with
     another text.
     """
-    groups, _ = written(
+    groups = scratch.written(
         rows.groupBy(*keys).agg(F.min("uid").alias("new_gid"), F.min("tag").alias("new_gtag"), F.count(F.lit(1)).alias("n")).where("n > 1"), "radix-groups"
     )
     found = rows.select("uid", "tag", *keys).join(groups, keys)
@@ -86,23 +86,24 @@ def _digits(rest: Column) -> dict[str, Column]:
 def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, tag, keep, group_size) of every document that has an equal one, each once: keep is the
     smallest id of its group; a missing id is the largest there is."""
-    base = _named_rows(docs, id_col, text_col)
-    step = _split(base.select("uid", "tag", _first_digit("text").alias("digit")), ["digit"], WIDTHS[0])
+    base, scratch = _named_rows(docs, id_col, text_col), Scratch()
+    step = _split(base.select("uid", "tag", _first_digit("text").alias("digit")), ["digit"], WIDTHS[0], scratch)
     done = [step.where("not open")]
     live = _small(step.where("open").select("uid", "tag", "gid", "gtag"))
     if not live.isEmpty():
         rest = base.join(live.select("uid", "tag"), ["uid", "tag"], "left_semi").withColumn("rest", F.substring(normalised("text"), WIDTHS[0] + 1, _NO_ID >> 32))
         digits = _digits(F.col("rest"))
-        table, _ = written(rest.select("uid", "tag", *(c.alias(k) for k, c in digits.items())), "radix-digits")
+        table = scratch.written(rest.select("uid", "tag", *(c.alias(k) for k, c in digits.items())), "radix-digits")
         k = 0
         while not live.isEmpty():
             k += 1
             width = WIDTHS[min(k, len(WIDTHS) - 1)]
             digit = F.col(f"d{k}") if f"d{k}" in digits else F.get("more", F.lit(k + 1 - len(WIDTHS)))
             rows = table.select("uid", "tag", digit.alias("digit")).join(live, ["uid", "tag"])
-            step = _split(rows, ["gid", "gtag", "digit"], width)
+            step = _split(rows, ["gid", "gtag", "digit"], width, scratch)
             done.append(step.where("not open"))
             live = _small(step.where("open").select("uid", "tag", "gid", "gtag"))
+    scratch.clear_from(docs.sparkSession)
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import discard, named, plain_text, slices, tasks, written
+from .common import Scratch, discard, named, plain_text, slices, tasks, written
 from .components import components
 
 #: Words of a shingle, and the similarity in per cent.
@@ -309,8 +309,9 @@ def _tree_task(percent: int):
     return run
 
 
-def tree_join(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def tree_join(rows: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """Candidate pairs (a, b) of rows (doc_id, comp, n, path), path being the whole set."""
+    scratch = Scratch() if scratch is None else scratch
     spark = rows.sparkSession
     each = rows.select("doc_id", F.explode("path").alias("e"), "comp")
     spread = each.groupBy("e").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") < F.max("comp")).alias("mixed"))
@@ -318,7 +319,7 @@ def tree_join(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     bound = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     # partners are of one class or neighbours: a class is a little wider than the ratio of two partners
     size_class = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
-    paths, _ = written(rows.select("doc_id", "comp", "n").join(ordered, "doc_id").select("doc_id", "comp", "n", size_class.alias("c"), F.slice("o", F.lit(1), bound).alias("o")), "paths")
+    paths = scratch.written(rows.select("doc_id", "comp", "n").join(ordered, "doc_id").select("doc_id", "comp", "n", size_class.alias("c"), F.slice("o", F.lit(1), bound).alias("o")), "paths")
     at = paths.select("doc_id", "comp", "n", "c", F.posexplode("o").alias("at", "x"), F.transform("o", lambda s: s["e"]).alias("es")).where("x.mixed")
     tails = at.select(
         "doc_id", "comp", "n", "at", F.col("x.e").alias("e"), F.slice("es", F.col("at") + 2, F.size("es")).alias("tail"),
@@ -326,7 +327,7 @@ def tree_join(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int").alias("salt"),
     ).select("*", "role.g", "role.upper").drop("role")
     sizes = tails.groupBy("e", "g").agg(F.count(F.lit(1)).alias("size"), (~F.min("upper")).alias("searched")).where("size > 1 and searched")
-    sizes, _ = written(sizes.select("e", "g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "forests")
+    sizes = scratch.written(sizes.select("e", "g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "forests")
     own = F.col("salt") % F.col("blocks")
     dealt = tails.join(sizes, ["e", "g"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")})
     # trees take time, not bytes, so their tasks are not to be merged by bytes
@@ -343,24 +344,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are one node: repeated rows share a component, and so does all that texts of one id link with.
     Texts are read whole; other columns are ignored. An empty table gives an empty result.
     """
-    spark = ship(docs.sparkSession)
+    spark, scratch = ship(docs.sparkSession), Scratch()
     texts = docs.select(named(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
     shown, _ = written(texts.mapInArrow(_shown(words, percent), "doc_id long, n int, need int, path array<bigint>"), "shown")
     some = shown.where("n > 0 and doc_id is not null")
-    alive, _ = written(_spread_out(some, "doc_id"), "alive")
-    sets, _ = written(_only(texts.where("doc_id is not null"), alive).mapInArrow(_whole(words), "doc_id long, n int, d1 long, d2 long, least array<bigint>, path array<bigint>").where("n > 0"), "sets")
+    alive = scratch.written(_spread_out(some, "doc_id"), "alive")
+    sets = scratch.written(_only(texts.where("doc_id is not null"), alive).mapInArrow(_whole(words), "doc_id long, n int, d1 long, d2 long, least array<bigint>, path array<bigint>").where("n > 0"), "sets")
     # classes of equal sets
     rep = sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members, _ = written(sets.select("doc_id", "n", "d1", "d2").join(rep, ["n", "d1", "d2"]).select("doc_id", "n", "rep").distinct(), "members")
+    members = scratch.written(sets.select("doc_id", "n", "d1", "d2").join(rep, ["n", "d1", "d2"]).select("doc_id", "n", "rep").distinct(), "members")
     own = members.where("doc_id = rep").select("doc_id", "n")
-    reps, _ = written(sets.join(own, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]), "reps")
+    reps = scratch.written(sets.join(own, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]), "reps")
     node = reps.select("doc_id", "n", "path")
     # families around the member whose elements are the most common: the text that the others vary
     keys = reps.join(alive, "doc_id").select("doc_id", "weight", F.posexplode("least").alias("seed", "v"))
     first = F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))
-    lead, _ = written(keys.groupBy("seed", "v").agg(first.alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("seed", "v", (-F.col("top.id")).alias("a")), "leads")
+    lead = scratch.written(keys.groupBy("seed", "v").agg(first.alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("seed", "v", (-F.col("top.id")).alias("a")), "leads")
     stars = keys.join(lead, ["seed", "v"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links, _ = written(linked(stars, node, percent), "links")
+    links = scratch.written(linked(stars, node, percent), "links")
     labels = components(links)
     state, path = written(
         shown.join(reps.select("doc_id", "n"), ["doc_id", "n"], "left_semi").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "need", "path", F.coalesce("label", "doc_id").alias("comp")), "state"
@@ -377,14 +378,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = links.unionByName(members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     if before:
         full = node.join(state.select("doc_id", "n", "comp"), ["doc_id", "n"]).select("doc_id", "n", F.ceil(F.col("n") * percent / 100).cast("int").alias("need"), "path", "comp")
-        full, _ = written(full, "rest")
-        last, _ = written(full.join(_spread_out(full, "comp"), "doc_id", "left_semi"), "last")
-        pairs, _ = written(tree_join(last, percent), "pairs")
-        more, _ = written(linked(pairs, last, percent), "links")
+        full = scratch.written(full, "rest")
+        last = scratch.written(full.join(_spread_out(full, "comp"), "doc_id", "left_semi"), "last")
+        pairs = scratch.written(tree_join(last, percent, scratch), "pairs")
+        more = scratch.written(linked(pairs, last, percent), "links")
         edges = edges.unionByName(more)
-    final = components(edges).withColumnRenamed("label", "_label")
+    final = components(edges)
+    scratch.append(path)
+    scratch.clear_from(spark)
     return shown.select("doc_id", "n").join(final, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_label", "doc_id").alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let, running_starts
-from .common import discard, named, plain_text, written
+from .common import Scratch, discard, named, plain_text, written
 
 #: The kinds in order, and their patterns. Possessive repeats and the looks behind leave
 #: what is found as it is, and keep long runs linear.
@@ -220,10 +220,10 @@ def _in_blocks(spans: DataFrame) -> DataFrame:
     return spans.withColumn("block", F.explode(F.sequence((F.col("start") / _BLOCK).cast("int"), ((F.col("end") - 1) / _BLOCK).cast("int"))))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, tag, start, end, said, left2, left, right, whole, kind), each once: kind is that of the
     base span with the same bounds, null for candidates that touch none."""
-    found, _ = written(_windows(rows).unionByName(_spelled(rows)).distinct(), "pii-windows")
+    found = (Scratch() if scratch is None else scratch).written(_windows(rows).unionByName(_spelled(rows)).distinct(), "pii-windows")
     spans = rows.where(F.size("base") > 0).select("doc_id", "tag", F.inline("base")).distinct()
     one = found.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "start", "end").distinct()
     b = _in_blocks(spans).select(*(F.col(c).alias(f"b_{c}") for c in ("doc_id", "tag", "block", "start", "end", "k")))
@@ -255,7 +255,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
     """(said, kind) of all known instances: seeds, and those that confident patterns vouch for. Ties
     between kinds go to the first; who is known stays so, so the rounds end."""
     spark = found.sparkSession
-    pairs, _ = written(patterns(found), "pii-graph")
+    pairs, graph = written(patterns(found), "pii-graph")
     known, _ = written(pairs.where("seed is not null").groupBy("said").agg(F.min("seed").alias("kind")), "pii-known")
     kinds = range(len(KINDS))
     while True:
@@ -270,6 +270,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
         new, _ = written(best.join(known, "said", "left_anti"), "pii-new")
         discard(spark, used)
         if new.isEmpty():
+            discard(spark, graph)
             return known
         known = known.unionByName(new)
 
@@ -308,7 +309,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     An empty table gives an empty result.
     """
     rows = _with_base(docs, id_col, text_col)
-    found, _ = written(candidates(rows), "pii-candidates")
+    scratch = Scratch()
+    found, _ = written(candidates(rows, scratch), "pii-candidates")
+    scratch.clear_from(docs.sparkSession)
     vouched = bootstrap(found).select("said", F.col("kind").alias("k"))
     added = (
         found.where("kind is null")

@@ -14,7 +14,7 @@ from .language_id import identify, train
 from .ngram_join import jaccard_components
 from .pii import find_pii
 from .secret_scan import scan_secrets
-from .sharding import place
+from .sharding import TABLE_SIZE, lookup_table, place
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op8_sql() -> str:
+    """The placement with the table as a list; tests hold the table against a brute-force version."""
+    owners = ",".join(map(str, lookup_table(SHARDS)))
+    return (
+        f"WITH own AS (SELECT string_split('{owners}', ',') AS o), "
+        f"placed AS (SELECT doc_id, CASE WHEN doc_id IS NULL THEN 0 ELSE ('0x' || substring(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {TABLE_SIZE} END AS slot FROM documents) "
+        "SELECT doc_id, slot, 'shard-' || lpad(o[slot + 1], 3, '0') AS shard FROM placed, own"
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -124,4 +134,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op9_chat_format": OP9_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_sharding": op8_sql(), "op9_chat_format": OP9_SQL}

@@ -7,6 +7,7 @@ import re
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphmill.llm import decontaminate, language_id
@@ -48,3 +49,19 @@ def test_pipeline(spark, tmp_path):
         want[i] = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert got == want and 50 < len(want) < len(texts) - 6
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_join", "decontaminate", "bpe"]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows and ids, clashing columns."""
+    rng = random.Random(4)
+    text, other = words(rng, 40), words(rng, 3000)
+    rows = [(1, text), (1, text), (2, text + " w1"), (3, other), (3, None), (None, words(rng, 30)), (4, ""), (5, "12 34")]
+    columns = ("uid", "tag", "digit", "n", "path", "label", "c0", "ids", "decoded", "item_id", "score", "_id", "_sha")
+    for name, docs, items in (("all", rows, [(0, words(rng, 20))]), ("none", [], [(0, "x")]), ("bare", rows, [])):
+        df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOCS).withColumns({c: F.lit("x") for c in columns})
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        kept = sorted((r.doc_id or -1, r.decoded_sha256) for r in got)
+        assert kept == (sorted([(1, digest(text)), (1, digest(text)), (3, digest(other)), (-1, digest(rows[5][1]))]) if docs else [])
