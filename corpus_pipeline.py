@@ -57,6 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: doc_id, n_tokens, ids_sha256, decoded_sha256 of each document that is left.
+
+    Null, empty and letterless texts go at the first stage. Rows that repeat an id and text share their
+    fate at every stage, those that share an id only are judged by text but for the join, where they are
+    one document. Extra columns pass through to the last stage, whatever their names. Texts are read
+    whole; empty tables give an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
