@@ -9,9 +9,11 @@ the elements before that bound plus one. What is built on this:
    about a tenth of the document's elements; a document of which fewer shown elements occur in any
    other document has no partner and leaves. Documents that merely quote a passage leave here, however
    common the passage, and no pair is ever written.
-2. Equal sets become one class. Classes whose paths start alike under one of SEEDS orders are measured
-   against the one of them whose elements are the most common, mostly the text that the others vary;
-   this ties big families together with a link each.
+2. Equal sets become one class. A family of many near copies would give a pair for every two of them, so
+   where more than FAMILY classes have the same first element under one of SEEDS orders, they are measured
+   against the one of them whose elements are the most common, mostly the text that the others vary; this
+   ties big families together with a link each. All other links are left to step 4, which finds the same
+   components without this one.
 3. Links within a component change nothing. So step 1 repeats with elements that occur in two
    components; families leave as a whole, and what stays is little.
 4. What stays is joined in full: elements ordered by spread, then rarity; paths cut at the bound; for
@@ -43,8 +45,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Share of a path that a document shows in steps 1 and 3.
 SHOWN = 0.25
-#: Orders that step 2 tries.
-SEEDS = 4
+#: Orders that step 2 tries, and classes that it leaves to step 4 as a family.
+SEEDS, FAMILY = 4, 16
 #: Paths of a block of a tree in step 4.
 BLOCK = 1024
 #: Documents up to which a list of ids is broadcast instead of shuffled (8 MB).
@@ -299,16 +301,40 @@ def tree_pairs(docs: list[tuple[int, int, int, int, list[int]]], percent: int =
 
 
 def _tree_task(percent: int):
-    def run(key, part):
-        rows = [(r["doc_id"], r["comp"], r["n"], r["n"] - r["at"] - 1, r["tail"]) for r in part.to_pylist()]
-        i, j, n_blocks = (x.as_py() for x in key[2:])
-        blocks = ([r % n_blocks for r in part.column("salt").to_pylist()], i, j) if n_blocks > 1 else None
-        pairs = [(min(rows[a][0], rows[b][0]), max(rows[a][0], rows[b][0])) for a, b in tree_pairs(rows, percent, blocks, part.column("upper").to_pylist())]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    """Searches the forests of partitions sorted by forest and block, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, salts, upper = None, [], [], []
+
+        def search() -> list[tuple[int, int]]:
+            if key is None or len(rows) < 2 or all(upper):
+                return []
+            i, j, n_blocks = key[2:]
+            blocks = ([x % n_blocks for x in salts], i, j) if n_blocks > 1 else None
+            return [(min(rows[a][0], rows[b][0]), max(rows[a][0], rows[b][0])) for a, b in tree_pairs(rows, percent, blocks, upper)]
+
+        def told(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            pairs = []
+            columns = ("doc_id", "comp", "n", "at", "tail", "salt", "upper", *_FOREST)
+            for doc, comp, n, at, tail, salt, up, *own in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if own != key:
+                    pairs += search()
+                    key, rows, salts, upper = own, [], [], []
+                rows.append((doc, comp, n, n - at - 1, tail))
+                salts.append(salt), upper.append(up)
+            yield told(pairs)
+        yield told(search())
 
     return run
 
 
+#: What names a forest and two blocks of it.
+_FOREST = ("e", "g", "i", "j", "blocks")
+
+
 def tree_join(rows: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """Candidate pairs (a, b) of rows (doc_id, comp, n, path), path being the whole set."""
     scratch = Scratch() if scratch is None else scratch
@@ -331,8 +357,8 @@ def tree_join(rows: DataFrame, percent: int = PERCENT, scratch: Scratch | None =
     own = F.col("salt") % F.col("blocks")
     dealt = tails.join(sizes, ["e", "g"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")})
     # trees take time, not bytes, so their tasks are not to be merged by bytes
-    keys = ["e", "g", "i", "j", "blocks"]
-    return dealt.drop("other").repartition(tasks(spark), *keys).groupBy(*keys).applyInArrow(_tree_task(percent), "a long, b long").distinct()
+    forests = dealt.drop("other").repartition(tasks(spark), *_FOREST).sortWithinPartitions(*_FOREST)
+    return forests.mapInArrow(_tree_task(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -351,7 +377,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alive = scratch.written(_spread_out(some, "doc_id"), "alive")
     sets = scratch.written(_only(texts.where("doc_id is not null"), alive).mapInArrow(_whole(words), "doc_id long, n int, d1 long, d2 long, least array<bigint>, path array<bigint>").where("n > 0"), "sets")
     # classes of equal sets
-    rep = sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    rep = scratch.written(sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.written(sets.select("doc_id", "n", "d1", "d2").join(rep, ["n", "d1", "d2"]).select("doc_id", "n", "rep").distinct(), "members")
     own = members.where("doc_id = rep").select("doc_id", "n")
     reps = scratch.written(sets.join(own, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]), "reps")
@@ -359,7 +385,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # families around the member whose elements are the most common: the text that the others vary
     keys = reps.join(alive, "doc_id").select("doc_id", "weight", F.posexplode("least").alias("seed", "v"))
     first = F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))
-    lead = scratch.written(keys.groupBy("seed", "v").agg(first.alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("seed", "v", (-F.col("top.id")).alias("a")), "leads")
+    lead = scratch.written(keys.groupBy("seed", "v").agg(first.alias("top"), F.count(F.lit(1)).alias("c")).where(F.col("c") > FAMILY).select("seed", "v", (-F.col("top.id")).alias("a")), "leads")
     stars = keys.join(lead, ["seed", "v"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links = scratch.written(linked(stars, node, percent), "links")
     labels = components(links)

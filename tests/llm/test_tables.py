@@ -205,8 +205,9 @@ def families(rng):
     return docs
 
 
-@pytest.mark.parametrize("seed,seeds,block", [(1, 4, 2048), (2, 1, 8), (3, 0, 16)])
-def test_ngram_join(spark, frame, monkeypatch, seed, seeds, block):
+@pytest.mark.parametrize("seed,seeds,family,block", [(1, 4, 1, 2048), (2, 1, 4, 8), (3, 0, 16, 16)])
+def test_ngram_join(spark, frame, monkeypatch, seed, seeds, family, block):
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
     monkeypatch.setattr(ngram_join, "SEEDS", seeds)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     docs = families(random.Random(seed))
