@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import html
 import math
+import os
 import random
 import re
 import struct
@@ -273,6 +275,30 @@ def test_html_on_held_out_pages():
     assert main(bare) == "\n".join(("A title of the page", w("a", 70), "Short.", w("b", 25) + " see", w("c", 8)))
 
 
+@pytest.mark.parametrize("bare", [False, True])
+def test_html_on_the_table(bare):
+    """The driver's pages, as they are and without telling elements or names, against what stands in their article."""
+    parquet = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no table")
+    model = html_extract.train()
+    both = kept = meant = 0
+    for page in parquet.read_table(path).column("html").to_pylist():
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        # block by block: a heading and paragraphs, whose text is what is left without tags
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:h1|p)>", article)]
+        want = [b for b in want if b]
+        if bare:
+            page = re.sub(r'\s(class|id)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", page))
+        got = html_extract.main_text(page, model).split("\n")
+        if not bare:
+            assert got == want
+        same = collections.Counter(want) & collections.Counter(got)
+        both, kept, meant = both + sum(len(b) * n for b, n in same.items()), kept + sum(map(len, got)), meant + sum(map(len, want))
+    assert both / meant >= 0.95 and both / kept >= 0.95
+
+
 def test_html_widgets():
     """Elements without an end tag end with what holds them or at the next block, and formulas are text."""
     model = html_extract.train()
