@@ -13,6 +13,8 @@ from . import unicode_tables as u
 _ASCII_PUNCT = r"!-/:-@\[-`{-~"
 _ASCII_IGNORED = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F"
 _PLAIN_PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Code points from which ranges are asked for apart; Latin letters are before.
+_FAR = 0x250
 #: Elements of a block of running_starts().
 _BLOCK = 64
 
@@ -122,25 +124,28 @@ def fold(word: Column, lower: bool, wide: bool = True) -> Column:
 
 
 @cache
-def _plain_class(lower: bool) -> str:
-    """The inside of a bracket that matches the characters of plain texts: those that tokens neither drop
-    nor, in lower mode, fold to any other number of characters."""
-    odd = set(range(0xAC00, 0xD7A4)) if lower else set()
+def _odd_pattern(lower: bool) -> str:
+    """Matches the characters that no plain text has: those that tokens drop or, in lower mode, fold to any
+    other number of characters. Java asks all ranges of a bracket in turn, so that common letters are to
+    fail after a few: ranges beyond them stand behind one test of their own."""
+    odd = {cp for first, last in ((0x0, 0x8), (0xB, 0xC), (0xE, 0x1F), (0x7F, 0x7F)) for cp in range(first, last + 1)}
+    ranges = [(cp, cp) for cp in odd] + u.non_ascii_classes()["I"]
     if lower:
-        odd |= {ord(a) for a, b in u.fold_table().items() if len(b) != 1}
-    dropped = u.non_ascii_classes()["I"]
-    taken, gaps, at = sorted([*dropped, *((cp, cp) for cp in odd if cp >= 0x80)]), [], 0x80
-    for first, last in taken:
-        if first > at:
-            gaps.append((at, first - 1))
-        at = max(at, last + 1)
-    return r"\t\n\r -~" + u.regex_ranges(gaps)  # Latin letters come first, as the most common
+        ranges += [(0xAC00, 0xD7A3), *((ord(a), ord(a)) for a, b in u.fold_table().items() if len(b) != 1 and ord(a) >= 0x80)]
+    merged: list[list[int]] = []
+    for first, last in sorted(ranges):
+        if merged and first <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], last)
+        else:
+            merged.append([first, last])
+    near, far = [r for r in merged if r[0] < _FAR], [r for r in merged if r[0] >= _FAR]
+    return rf"[{u.regex_ranges(near)}]|[\x{{{_FAR:X}}}-\x{{10FFFF}}&&[{u.regex_ranges(far)}]]"
 
 
 def is_plain(text: Column, lower: bool, specials: tuple[str, ...]) -> Column:
     """Whether a text holds no special token and plain characters only: its tokens are then those of the
     folded text, at the same places."""
-    plain = ~text.rlike(f"[^{_plain_class(lower)}]")
+    plain = ~text.rlike(_odd_pattern(lower))
     for s in specials:
         plain = plain & ~text.contains(s)
     return plain
