@@ -46,9 +46,11 @@ WORDS, PERCENT = 4, 85
 #: Share of a path that a document shows in steps 1 and 3.
 SHOWN = 0.25
 #: Orders that step 2 tries, and classes that it leaves to step 4 as a family.
-SEEDS, FAMILY = 4, 16
+SEEDS, FAMILY = 4, 32
 #: Paths of a block of a tree in step 4.
 BLOCK = 1024
+#: Large forests up to which their list is broadcast (2 MB).
+BROADCAST_FORESTS = 100_000
 #: Documents up to which a list of ids is broadcast instead of shuffled (8 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -346,18 +348,25 @@ def tree_join(rows: DataFrame, percent: int = PERCENT, scratch: Scratch | None =
     # partners are of one class or neighbours: a class is a little wider than the ratio of two partners
     size_class = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
     paths = scratch.written(rows.select("doc_id", "comp", "n").join(ordered, "doc_id").select("doc_id", "comp", "n", size_class.alias("c"), F.slice("o", F.lit(1), bound).alias("o")), "paths")
-    at = paths.select("doc_id", "comp", "n", "c", F.posexplode("o").alias("at", "x"), F.transform("o", lambda s: s["e"]).alias("es")).where("x.mixed")
-    tails = at.select(
+    # a task unfolds a path into all its tails, which is more than its bytes tell
+    at = paths.repartition(tasks(spark), "doc_id").select("doc_id", "comp", "n", "c", F.posexplode("o").alias("at", "x"), F.transform("o", lambda s: s["e"]).alias("es")).where("x.mixed")
+    roles = at.select(
         "doc_id", "comp", "n", "at", F.col("x.e").alias("e"), F.slice("es", F.col("at") + 2, F.size("es")).alias("tail"),
         F.explode(F.array(F.struct(F.col("c").alias("g"), F.lit(False).alias("upper")), F.struct((F.col("c") - 1).alias("g"), F.lit(True).alias("upper")))).alias("role"),
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int").alias("salt"),
-    ).select("*", "role.g", "role.upper").drop("role")
-    sizes = tails.groupBy("e", "g").agg(F.count(F.lit(1)).alias("size"), (~F.min("upper")).alias("searched")).where("size > 1 and searched")
-    sizes = scratch.written(sizes.select("e", "g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "forests")
-    own = F.col("salt") % F.col("blocks")
-    dealt = tails.join(sizes, ["e", "g"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")})
+    )
+    tails = roles.select("*", "role.g", "role.upper").drop("role")
+    # large forests are few, and mostly there are none: no join then
+    large = scratch.written(tails.groupBy("e", "g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select("e", "g", F.ceil(F.col("size") / BLOCK).cast("int").alias("several")), "forests")
+    n_large = large.count()
+    if n_large:
+        dealt = tails.join(F.broadcast(large) if n_large <= BROADCAST_FORESTS else large, ["e", "g"], "left").withColumn("blocks", F.coalesce("several", F.lit(1))).drop("several")
+        own = F.col("salt") % F.col("blocks")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")}).drop("other")
+    else:
+        dealt = tails.withColumns({"blocks": F.lit(1), "i": F.lit(0), "j": F.lit(0)})
     # trees take time, not bytes, so their tasks are not to be merged by bytes
-    forests = dealt.drop("other").repartition(tasks(spark), *_FOREST).sortWithinPartitions(*_FOREST)
+    forests = dealt.repartition(tasks(spark), *_FOREST).sortWithinPartitions(*_FOREST)
     return forests.mapInArrow(_tree_task(percent), "a long, b long").distinct()
 
 
