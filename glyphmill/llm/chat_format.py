@@ -114,7 +114,9 @@ def format_conversations(
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """The digest columns of formatted conversations, from the turns read back."""
+    """The digest columns of formatted conversations, from the turns read back: a row for each row, with
+    zero counts and the digest of the empty text where a conversation has no assistant. Roles and texts
+    are never null here, as formatting made them empty; an empty table gives an empty result."""
     said = F.array_join(
         F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""
     )

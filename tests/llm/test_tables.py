@@ -331,6 +331,8 @@ def test_sharding(spark, frame):
     assert sharding.place(frame(texts), "text", shards, 499).select("shard").distinct().count() <= 3
     assert {r.slot for r in sharding.place(frame([None], [None]), "doc_id", shards, 499).collect()} == {0}
     assert sharding.place(frame([]), "doc_id", shards, 499).count() == 0
+    long = sharding.place(frame(["x" * 1_000_000, "x" * 1_000_000]), "text", shards, 499).collect()
+    assert {r.slot for r in long} == {int(hashlib.md5(b"x" * 1_000_000).hexdigest()[:8], 16) % 499}
     for bad in ((["a", "a"], 499), ([], 499), (["a"], 500)):
         with pytest.raises(ValueError):
             sharding.lookup_table(*bad)

@@ -268,6 +268,9 @@ def test_html_on_held_out_pages():
     for name in ("side-by-side", "entry legal-history", "context", "shared-history-of-adverbs"):
         assert main(f'<article><h1>t</h1><div class="{name}"><p>{w("a", 30)}</p></div></article>') == f"t\n{w('a', 30)}"
     assert main("<article>One two three<ul><li>a b<li>c d</ul></article>") == "One two three\na b\nc d"
+    a, b = w("a", 40), w("b", 30)
+    for page in (f"<div><p>{a}<div>{b}</p></div>", f"<p>{a}<p>{b}", f"<div><b><p>{a}</b></p><i>{b}</div></i>", f"<table><tr><td>{a}<tr><td>{b}", f"<div><p>{a}</div></div></p>{b}<"):
+        assert main(page).rstrip("<").split("\n") == [a, b], page  # unclosed and misnested, with nothing that tells
     bare = (
         "<div><ul><li><a>Home</a></li><li><a>News of today</a></li></ul></div><div>Buy two of these and get one.</div><div><h1>A title of the page</h1>"
         f"<p>{w('a', 70)}</p><p>Short.</p><p>{w('b', 25)} <a>see</a></p><p>{w('c', 8)}</p></div><div>All rights reserved by us.</div>"
