@@ -9,11 +9,10 @@ the elements before that bound plus one. What is built on this:
    about a tenth of the document's elements; a document of which fewer shown elements occur in any
    other document has no partner and leaves. Documents that merely quote a passage leave here, however
    common the passage, and no pair is ever written.
-2. Equal sets become one class. A family of many near copies would give a pair for every two of them, so
+2. Equal sets become one class. A family of near copies would give a pair for every two of them, so
    where more than FAMILY classes have the same first element under one of SEEDS orders, they are measured
    against the one of them whose elements are the most common, mostly the text that the others vary; this
-   ties big families together with a link each. All other links are left to step 4, which finds the same
-   components without this one.
+   ties families together with a link each. It only saves work: step 4 finds the same components without.
 3. Links within a component change nothing. So step 1 repeats with elements that occur in two
    components; families leave as a whole, and what stays is little.
 4. What stays is joined in full: elements ordered by spread, then rarity; paths cut at the bound; for
@@ -45,12 +44,10 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Share of a path that a document shows in steps 1 and 3.
 SHOWN = 0.25
-#: Orders that step 2 tries, and classes that it leaves to step 4 as a family.
-SEEDS, FAMILY = 4, 32
+#: Orders that step 2 tries (none: step 4 finds all links), and classes that it leaves to step 4 as a family.
+SEEDS, FAMILY = 4, 1
 #: Paths of a block of a tree in step 4.
 BLOCK = 1024
-#: Large forests up to which their list is broadcast (2 MB).
-BROADCAST_FORESTS = 100_000
 #: Documents up to which a list of ids is broadcast instead of shuffled (8 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -356,15 +353,11 @@ def tree_join(rows: DataFrame, percent: int = PERCENT, scratch: Scratch | None =
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int").alias("salt"),
     )
     tails = roles.select("*", "role.g", "role.upper").drop("role")
-    # large forests are few, and mostly there are none: no join then
-    large = scratch.written(tails.groupBy("e", "g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select("e", "g", F.ceil(F.col("size") / BLOCK).cast("int").alias("several")), "forests")
-    n_large = large.count()
-    if n_large:
-        dealt = tails.join(F.broadcast(large) if n_large <= BROADCAST_FORESTS else large, ["e", "g"], "left").withColumn("blocks", F.coalesce("several", F.lit(1))).drop("several")
-        own = F.col("salt") % F.col("blocks")
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")}).drop("other")
-    else:
-        dealt = tails.withColumns({"blocks": F.lit(1), "i": F.lit(0), "j": F.lit(0)})
+    # forests of one document, or of one component, have nothing to find
+    sizes = tails.groupBy("e", "g").agg(F.count(F.lit(1)).alias("size"), (~F.min("upper")).alias("searched"), (F.min("comp") < F.max("comp")).alias("apart")).where("searched and apart")
+    sizes = scratch.written(sizes.select("e", "g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "forests")
+    own = F.col("salt") % F.col("blocks")
+    dealt = tails.join(sizes, ["e", "g"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least(own, "other"), "j": F.greatest(own, "other")}).drop("other")
     # trees take time, not bytes, so their tasks are not to be merged by bytes
     forests = dealt.repartition(tasks(spark), *_FOREST).sortWithinPartitions(*_FOREST)
     return forests.mapInArrow(_tree_task(percent), "a long, b long").distinct()
