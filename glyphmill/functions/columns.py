@@ -16,7 +16,7 @@ _PLAIN_PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Code points from which ranges are asked for apart; Latin letters are before.
 _FAR = 0x250
 #: Elements of a block of running_starts().
-_BLOCK = 64
+_BLOCK = 16
 
 
 def _beyond_ascii(ranges) -> str:
@@ -181,20 +181,21 @@ def basic_tokens(text: Column, lower: bool = True, specials: tuple[str, ...] = (
     folded = _plain_text(text, lower)
     measured = text if offset_unit == "byte" else folded  # a fold keeps characters, not bytes
 
-    def placed(tokens: Column) -> Column:
-        own = F.regexp_extract_all(measured, pattern, F.lit(0)) if offset_unit == "byte" else tokens
+    def starts_of(runs: Column, gaps: Column) -> Column:
+        before = let(F.zip_with(gaps, runs, lambda g, r: size(g) + size(r)), running_starts)
+        return F.zip_with(before, gaps, lambda s, g: s + size(g))
 
-        def between(runs: Column) -> Column:
-            gaps = F.slice(F.split(measured, _plain_pattern(lower), -1), 1, F.size(runs))
-            gap, length = F.transform(gaps, lambda g: size(g)), F.transform(runs, lambda r: size(r))
-            return let(F.struct(gap.alias("gap"), length.alias("length")), lambda n: ends(n["gap"], n["length"]))
+    def placed(tokens: Column) -> Column:
+        gaps_of = lambda runs: F.slice(F.split(measured, _plain_pattern(lower), -1), 1, F.size(runs))
+        if offset_unit != "byte":
+            starts = let(gaps_of(tokens), lambda gaps: starts_of(tokens, gaps))
+            return F.zip_with(starts, tokens, lambda s, t: F.struct(s.alias("start"), (s + size(t)).alias("end"), t.alias("token")))
 
-        def ends(gap: Column, length: Column) -> Column:
-            before = let(F.zip_with(gap, length, lambda g, n: g + n), running_starts)
-            starts = F.zip_with(before, gap, lambda s, g: s + g)
-            return let(starts, lambda s: F.arrays_zip(s, F.zip_with(s, length, lambda a, n: a + n), tokens).cast("array<struct<start:int,end:int,token:string>>"))
+        def told(runs: Column) -> Column:
+            starts = let(gaps_of(runs), lambda gaps: starts_of(runs, gaps))
+            return let(starts, lambda s: F.arrays_zip(s, F.zip_with(s, runs, lambda a, r: a + size(r)), tokens).cast("array<struct<start:int,end:int,token:string>>"))
 
-        return let(own, between)
+        return let(F.regexp_extract_all(measured, pattern, F.lit(0)), told)
 
     plain = let(F.regexp_extract_all(folded, pattern, F.lit(0)), placed)
     return F.when(is_plain(text, lower, specials), plain).when(text.isNotNull(), _general_tokens(text, lower, specials, offset_unit))
