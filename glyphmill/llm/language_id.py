@@ -36,6 +36,9 @@ WINDOWS = (32, 80)
 EXHAUSTIVE = 6
 #: Scores under this are ambiguous: of two languages, the second is then at least 0.8 times as likely.
 AMBIGUOUS = 0.55
+#: Scores under this are rejected by the filter: three languages or more are then about as near. Documents
+#: between two languages, often of one word, are flagged but kept.
+REJECTED = 1 / 3
 UNKNOWN = "und"
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
@@ -212,9 +215,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = REJECTED) -> DataFrame:
     """docs without the rows that have no language: letterless ones (null, empty and blank texts among
-    them) and ambiguous ones. Rows are filtered where they are, whole, with all their columns; nothing is
+    them) and those of a score under ``least``. Rows are filtered where they are, whole, with all their columns; nothing is
     shuffled. Repeated rows share their fate; an empty table stays empty."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
@@ -223,6 +226,6 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         for batch in batches:
             for part in slices(batch, text_col, 2_000_000, 256):
                 langs, score = predict(shared.value, part.column(text_col).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN and s >= AMBIGUOUS for x, s in zip(langs, score, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ def test_pipeline(spark, tmp_path):
 
     model = language_id.train(docs)
     langs, scores = language_id.predict(model, [t for t in texts])
-    left = [(i, t) for i, t in enumerate(texts) if langs[i] != "und" and scores[i] >= language_id.AMBIGUOUS]
+    left = [(i, t) for i, t in enumerate(texts) if langs[i] != "und" and scores[i] >= language_id.REJECTED]
     seen, once = set(), []
     for i, t in left:
         if (n := re.sub(r"[\x20\x09-\x0D]+", " ", t)) not in seen:

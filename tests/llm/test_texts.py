@@ -173,8 +173,9 @@ def test_language_of_odd_tables(spark, rng):
     assert all(r[4] == (r[3] < language_id.AMBIGUOUS) for r in got) and min(r[3] for r in doubt) < min(r[3] for r in got if r[0] is not None and r[0] < 300)
     kept = language_id.keep_identified(clash, model)
     assert kept.columns == clash.columns and kept.where("doc_id < 300").count() == 301
-    with_doubt = language_id.keep_identified(docs, language_id.Model(model.languages, model.codes, model.weights * 0, model.bias * 0, model.worth))
-    assert with_doubt.count() == 0
+    flat = lambda n: language_id.Model(tuple(map(str, range(n))), language_id.codewords(n), np.zeros((language_id.BUCKETS, c := language_id.codewords(n).shape[1])), np.zeros(c), np.ones(c))
+    assert language_id.keep_identified(docs, flat(4)).count() == 0 and language_id.keep_identified(docs, flat(2)).count() == 341
+    assert language_id.keep_identified(docs, flat(2), least=language_id.AMBIGUOUS).count() == 0
 
 
 # ---------------------------------------------------------------------------------------------- BPE
