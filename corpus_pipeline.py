@@ -18,7 +18,7 @@ from glyphmill.llm.queries import tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: letterless and ambiguous ones go."""
+    """Documents with a language: letterless ones go, and those that three languages or more are near to."""
     return keep_identified(docs, train(docs))
 
 
