@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,19 +16,15 @@ from ..functions.kernel import Config, Tokenizer, check_length
 from ..session import is_local, ship, written
 from ..sources.tables import spread, zero_padded
 from ..sources.vocab import MAX_BROADCAST_TOKENS, Vocab
+from .passes import flat_rows, parts, table_of, tokenizer
 
 _INTS = T.ArrayType(T.IntegerType(), False)
 ENCODING = ("input_ids", "token_type_ids", "attention_mask", "offsets")
-_BUILT: dict[int, Tokenizer] = {}
 
 
 def _tokenizer(shared) -> Tokenizer:
     """The worker's tokeniser of a broadcast vocabulary, made once a worker."""
-    if shared.id not in _BUILT:
-        _BUILT.clear()
-        tokens, config = shared.value
-        _BUILT[shared.id] = Tokenizer(Vocab(tokens), config)
-    return _BUILT[shared.id]
+    return tokenizer(shared.id, lambda: shared.value)
 
 
 _OPEN: list = []
@@ -55,7 +53,8 @@ class _Shared:
 
 
 def _mapped(df: DataFrame, text_col: str, vocab: Vocab, config: Config, outs: dict[str, T.DataType], of: Callable) -> DataFrame:
-    """df with columns ``outs``, of(tokenizer, text) giving their values; null text gives nulls."""
+    """df with columns ``outs``, of(tokenizer, column) giving their values for a part of the rows; null
+    text gives nulls."""
     shared = _Shared(df, vocab, config)
     kept = spread(df.drop(*outs))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(k, t) for k, t in outs.items())])
@@ -66,25 +65,78 @@ def _mapped(df: DataFrame, text_col: str, vocab: Vocab, config: Config, outs: di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = _tokenizer(shared)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                rows = [None if t is None else of(tk, t) for t in part.column(at).to_pylist()]
-                more = [pa.array([None if r is None else r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.names)
+        for part in parts(batches, at):
+            column = part.column(at)
+            none = column.is_null() if column.null_count else None
+            more = []
+            for (sizes, values), kind in zip(of(tk, column), kinds, strict=True):
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                values = values if isinstance(values, pa.Array) else pa.array(values, pa.int32())
+                more.append(pa.ListArray.from_arrays(offsets, values, type=kind, mask=none))
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
+def _framed(per: np.ndarray, values: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of ``per`` elements, end to end, with an element before and one behind each."""
+    ends = np.cumsum(per)
+    return per + 2, np.insert(values, np.stack((ends - per, ends), 1).ravel(), np.tile(np.array([first, last], values.dtype), len(per)))
+
+
+def _first(per: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of ``per`` elements, end to end, cut to most."""
+    kept = np.minimum(per, most)
+    at = np.arange(kept.sum()) + np.repeat(np.cumsum(per) - per - np.cumsum(kept) + kept, kept)
+    return kept, values[at]
+
+
+def _arrays(tk: Tokenizer, column: pa.Array, of: Callable, n: int) -> list:
+    """What of(text) gives text by text, as sizes and values of n arrays."""
+    rows = [((),) * n if t is None else of(t) for t in column.to_pylist()]
+    sizes = [np.fromiter((len(r[i]) for r in rows), np.int64, len(rows)) for i in range(n)]
+    return [(sizes[i], np.fromiter((x for r in rows for x in r[i]), np.int32, int(sizes[i].sum()))) for i in range(n)]
+
+
+def _whole(tk: Tokenizer, column: pa.Array, add_cls_sep: bool):
+    """The items of whole texts, and sizes and values of their ids."""
+    table = table_of(tk, True)
+    flat = table.flat(column.to_pylist())
+    ids = flat.per, table.ids(flat)
+    return flat, (_framed(*ids, tk.vocab.cls_id, tk.vocab.sep_id) if add_cls_sep else ids)
+
+
+def _pairs(flat) -> tuple[np.ndarray, np.ndarray]:
+    return 2 * flat.per, np.stack((flat.start, flat.end), 1).ravel()
+
+
 def wordpiece_tokenize(df: DataFrame, vocab: Vocab, text_col: str = "text", config: Config = Config()) -> DataFrame:
     """df with pieces (array<string>) and offsets (flat array<int>)."""
-    return _mapped(df, text_col, vocab, config, {"pieces": T.ArrayType(T.StringType(), False), "offsets": _INTS}, lambda tk, t: tk.wordpiece(t))
+
+    def of(tk: Tokenizer, column: pa.Array):
+        flat, _ = _whole(tk, column, False)
+        return (flat.per, flat.strings), _pairs(flat)
+
+    return _mapped(df, text_col, vocab, config, {"pieces": T.ArrayType(T.StringType(), False), "offsets": _INTS}, of)
+
+
+def piece_rows(df: DataFrame, keys: list[str], vocab: Vocab, outs: dict[str, str], text_col: str = "text", config: Config = Config()) -> DataFrame:
+    """One row per piece: the keys and ``outs``, names with what they hold: pos (of the basic token),
+    piece_idx (in it), i (in the text), start, end, strings (the piece)."""
+    shared = _Shared(df, vocab, config)
+    return flat_rows(df, keys, text_col, (shared.id, lambda: shared.value), outs, True)
 
 
 def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", config: Config = Config(), add_cls_sep: bool = True, truncation: bool = True, max_length: int = 512) -> DataFrame:
     """df with input_ids, cut to max_length but not padded."""
     check_length(max_length, add_cls_sep)
-    return _mapped(df, text_col, vocab, config, {"input_ids": _INTS}, lambda tk, t: (tk.encode(t, add_cls_sep, truncation, max_length),))
+
+    def of(tk: Tokenizer, column: pa.Array):
+        if truncation:
+            return _arrays(tk, column, lambda t: (tk.encode(t, add_cls_sep, truncation, max_length),), 1)
+        return (_whole(tk, column, add_cls_sep)[1],)
+
+    return _mapped(df, text_col, vocab, config, {"input_ids": _INTS}, of)
 
 
 def encode_fixed(df: DataFrame, vocab: Vocab, max_length: int, text_col: str = "text", config: Config = Config()) -> DataFrame:
@@ -98,7 +150,19 @@ def encode_with_ids(
     """df with input_ids, token_type_ids, attention_mask and offsets. Padding is with zeros to
     max_length, and cuts what truncation left longer; offsets are never padded."""
     check_length(max_length, add_cls_sep)
-    return _mapped(df, text_col, vocab, config, dict.fromkeys(ENCODING, _INTS), lambda tk, t: tk.encode_with_ids(t, add_cls_sep, padding, truncation, max_length))
+
+    def of(tk: Tokenizer, column: pa.Array):
+        if truncation:
+            return _arrays(tk, column, lambda t: tk.encode_with_ids(t, add_cls_sep, padding, truncation, max_length), len(ENCODING))
+        flat, (per, ids) = _whole(tk, column, add_cls_sep)
+        mask = np.ones(len(ids), np.int32)
+        if padding:  # max_length zeros behind each, then cut
+            at = np.repeat(np.cumsum(per), max_length)
+            whole, zero = per + max_length, np.zeros(len(at), np.int32)
+            (per, ids), (_, mask) = (_first(whole, np.insert(x, at, zero), max_length) for x in (ids, mask))
+        return (per, ids), (per, np.zeros(len(ids), np.int32)), (per, mask), _pairs(flat)
+
+    return _mapped(df, text_col, vocab, config, dict.fromkeys(ENCODING, _INTS), of)
 
 
 def _filled(column: str, fill: Column, length: Column) -> Column:
@@ -153,11 +217,36 @@ def _once(rows: DataFrame) -> DataFrame:
     return written(rows, "encoded")[0] if named or is_local(spark) else rows
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def ids_of(tk: Tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of arrays of tokens; each distinct token is looked up once."""
+    coded = column.flatten().dictionary_encode()
+    ids = np.array([*tk.token_ids(coded.dictionary.to_pylist()), tk.vocab.unk_id], np.int32)
+    return _sizes(column), ids[coded.indices.fill_null(len(ids) - 1).to_numpy(zero_copy_only=False)]
+
+
+def tokens_of(tk: Tokenizer, column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Sizes and tokens of arrays of ids."""
+    ids = column.flatten()
+    for i in ids.unique().to_pylist():
+        tk.vocab.token_of(i)
+    if getattr(tk, "strings", None) is None:
+        tk.strings = pa.array(tk.vocab.tokens, pa.string())
+    return _sizes(column), tk.strings.take(ids)
+
+
 def convert_tokens_to_ids(df: DataFrame, vocab: Vocab, tokens_col: str = "pieces", add_cls_sep: bool = False, out: str = "ids") -> DataFrame:
     """df with the ids of an array of tokens; unknown ones have the unknown token's id."""
-    return _mapped(df, tokens_col, vocab, Config(), {out: _INTS}, lambda tk, ts: (tk.token_ids(ts, add_cls_sep),))
+
+    def of(tk: Tokenizer, column: pa.Array):
+        return (_framed(*ids_of(tk, column), tk.vocab.cls_id, tk.vocab.sep_id) if add_cls_sep else ids_of(tk, column),)
+
+    return _mapped(df, tokens_col, vocab, Config(), {out: _INTS}, of)
 
 
 def convert_ids_to_tokens(df: DataFrame, vocab: Vocab, ids_col: str = "ids", out: str = "tokens") -> DataFrame:
     """df with the tokens of an array of ids; an id that no token has is an error."""
-    return _mapped(df, ids_col, vocab, Config(), {out: T.ArrayType(T.StringType(), False)}, lambda tk, ids: ([tk.vocab.token_of(i) for i in ids],))
+    return _mapped(df, ids_col, vocab, Config(), {out: T.ArrayType(T.StringType(), False)}, lambda tk, column: (tokens_of(tk, column),))
