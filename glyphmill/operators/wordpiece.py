@@ -1,9 +1,9 @@
 """Greedy longest-match WordPiece.
 
-``wordpiece_rows`` is a plan of joins: each distinct word is split once, then joined back to its
+``joined_rows`` is a plan of joins: each distinct word is split once, then joined back to its
 occurrences; words that have no pieces need no row, so the words are counted in one pass and the
 occurrences in another. ``operators.encode`` fuses everything in one narrow pass over Arrow batches, which
-moves no text and is the default for encodings.
+moves no text; ``wordpiece_rows`` takes that while the vocabulary is of broadcast size.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernel import MAX_WORD_BYTES, Config
-from ..sources.vocab import UNK, Vocab
+from ..sources.vocab import MAX_BROADCAST_TOKENS, UNK, Vocab
 from .basic import basic_token_rows
+from .encode import piece_rows
 from .vocabulary import relation
 
 
@@ -66,6 +67,13 @@ def split_words(words: DataFrame, vocab: Vocab, config: Config = Config(), word_
 
 def wordpiece_rows(df: DataFrame, keys: list[str], vocab: Vocab, text_col: str = "text", config: Config = Config()) -> DataFrame:
     """One row per piece: the keys, pos (of the basic token), piece_idx, piece."""
+    if len(vocab) > MAX_BROADCAST_TOKENS:
+        return joined_rows(df, keys, vocab, text_col, config)
+    return piece_rows(df, keys, vocab, {"pos": "pos", "piece_idx": "piece_idx", "piece": "strings"}, text_col, config)
+
+
+def joined_rows(df: DataFrame, keys: list[str], vocab: Vocab, text_col: str = "text", config: Config = Config()) -> DataFrame:
+    """wordpiece_rows() for a vocabulary of any size."""
     inner = [f"k{i}" for i in range(len(keys))]  # no key can clash
     rows = df.select(*(F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)), F.col(text_col).alias("text"))
     tokens = basic_token_rows(rows, inner, "text", config, offsets=False).withColumnRenamed("token", "w")
