@@ -98,10 +98,10 @@ def _arrays(tk: Tokenizer, column: pa.Array, of: Callable, n: int) -> list:
     return [(sizes[i], np.fromiter((x for r in rows for x in r[i]), np.int32, int(sizes[i].sum()))) for i in range(n)]
 
 
-def _whole(tk: Tokenizer, column: pa.Array, add_cls_sep: bool):
+def _whole(tk: Tokenizer, column: pa.Array, add_cls_sep: bool, places: bool = True):
     """The items of whole texts, and sizes and values of their ids."""
     table = table_of(tk, True)
-    flat = table.flat(column.to_pylist())
+    flat = table.flat(column, places)
     ids = flat.per, table.ids(flat)
     return flat, (_framed(*ids, tk.vocab.cls_id, tk.vocab.sep_id) if add_cls_sep else ids)
 
@@ -134,7 +134,7 @@ def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", config: Config =
     def of(tk: Tokenizer, column: pa.Array):
         if truncation:
             return _arrays(tk, column, lambda t: (tk.encode(t, add_cls_sep, truncation, max_length),), 1)
-        return (_whole(tk, column, add_cls_sep)[1],)
+        return (_whole(tk, column, add_cls_sep, False)[1],)
 
     return _mapped(df, text_col, vocab, config, {"input_ids": _INTS}, of)
 
