@@ -84,11 +84,14 @@ def _framed(per: np.ndarray, values: np.ndarray, first: int, last: int) -> tuple
     return per + 2, np.insert(values, np.stack((ends - per, ends), 1).ravel(), np.tile(np.array([first, last], values.dtype), len(per)))
 
 
-def _first(per: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays of ``per`` elements, end to end, cut to most."""
-    kept = np.minimum(per, most)
-    at = np.arange(kept.sum()) + np.repeat(np.cumsum(per) - per - np.cumsum(kept) + kept, kept)
-    return kept, values[at]
+def _padded(per: np.ndarray, values: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of ``per`` elements, end to end, cut or filled with zeros to length; nothing beyond is copied."""
+    kept = np.minimum(per, length)
+    row = np.repeat(np.arange(len(per)), kept)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(kept) - kept, kept)
+    out = np.zeros((len(per), length), np.int32)
+    out[row, place] = values[(np.cumsum(per) - per)[row] + place]
+    return np.full(len(per), length), out.ravel()
 
 
 def _arrays(tk: Tokenizer, column: pa.Array, of: Callable, n: int) -> list:
@@ -155,11 +158,10 @@ def encode_with_ids(
         if truncation:
             return _arrays(tk, column, lambda t: tk.encode_with_ids(t, add_cls_sep, padding, truncation, max_length), len(ENCODING))
         flat, (per, ids) = _whole(tk, column, add_cls_sep)
-        mask = np.ones(len(ids), np.int32)
-        if padding:  # max_length zeros behind each, then cut
-            at = np.repeat(np.cumsum(per), max_length)
-            whole, zero = per + max_length, np.zeros(len(at), np.int32)
-            (per, ids), (_, mask) = (_first(whole, np.insert(x, at, zero), max_length) for x in (ids, mask))
+        if padding:
+            (_, mask), (per, ids) = _padded(per, np.broadcast_to(np.int32(1), len(ids)), max_length), _padded(per, ids, max_length)
+        else:
+            mask = np.ones(len(ids), np.int32)
         return (per, ids), (per, np.zeros(len(ids), np.int32)), (per, mask), _pairs(flat)
 
     return _mapped(df, text_col, vocab, config, dict.fromkeys(ENCODING, _INTS), of)
